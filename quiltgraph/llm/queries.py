@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, mixing, quality_rules, simhash, token_counts
+from . import byte_bpe, chat, mixing, quality_classifier, quality_rules, secrets, simhash, token_counts, topk
 from .common import documents
 
 
@@ -26,24 +26,37 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.topk_report(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(documents(spark, sf_dir))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classifier_report(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.with_hostile(_table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_token_counts, op4_quality_rules, op6_byte_bpe, op8_simhash, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_token_counts, op4_quality_rules, op5_secret_scan, op6_byte_bpe, op7_topk, op8_simhash, op9_quality_classifier, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": mixing.ORACLE.format(docs="documents"),
+        "op7_topk": topk.ORACLE,
         "op10_chat_format": chat.ORACLE,
     }
