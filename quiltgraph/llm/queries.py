@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, mixing, quality_classifier, quality_rules, secrets, simhash, token_counts, topk
+from . import byte_bpe, chat, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, token_counts, topk
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_token_counts, op4_quality_rules, op5_secret_scan, op6_byte_bpe, op7_topk, op8_simhash, op9_quality_classifier, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_dedup, op3_token_counts, op4_quality_rules, op5_secret_scan, op6_byte_bpe, op7_topk, op8_simhash, op9_quality_classifier, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
