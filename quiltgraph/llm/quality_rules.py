@@ -27,7 +27,8 @@ from .common import WORD, joined_small, written
 
 #: Vector: log mean word length, log symbols a word, log repeated lines a line, share of words in repeated windows.
 P = 4
-FLOORS = (0.03, 0.05, 0.05, 0.08)
+#: Floors are standard deviations; that of repeated words keeps the base rule's own limit (one half) within the cut.
+FLOORS = (0.03, 0.05, 0.05, 0.1)
 UNIT = 4096
 #: Share of a group in the h-subset; what makes its covariance consistent at the normal (4 dimensions, 3/4); steps.
 SUBSET, CONSISTENT, STEPS = 0.75, 1.6, 3
