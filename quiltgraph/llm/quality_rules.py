@@ -38,14 +38,12 @@ LEAST = 50
 BIN = 16.0
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Cheap statistics of a text, each an expression over the whole text."""
-    t = F.coalesce(text, F.lit(""))
-    return {"__t": t, "__words": F.regexp_extract_all(t, F.lit(f"({WORD})"), 1)}
-
-
 def with_statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """``keep`` and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_distinct (long)."""
+    """``keep`` and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_distinct (long).
+
+    The columns come out of a generator of one row: filters on them aren't pushed into the expressions,
+    where they would be evaluated again inside each other's lambdas.
+    """
     names = [f"__k{i}" for i in range(len(keep))]
     d = docs.select(*[k.alias(n) for k, n in zip(keep, names, strict=True)], F.coalesce("text", F.lit("")).alias("__t"))
     d = d.withColumn("__words", F.regexp_extract_all("__t", F.lit(f"({WORD})"), 1))
@@ -64,9 +62,9 @@ def with_statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
     repeated = "(j > 0 and __sorted[j - 1].h = s.h) or (j < size(__sorted) - 1 and __sorted[j + 1].h = s.h)"
     d = d.withColumn("__at", F.expr(f"array_sort(filter(transform(__sorted, (s, j) -> if({repeated}, s.i, null)), x -> x is not null))"))
     covered = F.expr("if(size(__at) = 0, 0, 3 + aggregate(transform(__at, (x, j) -> if(j = 0, 0, least(3, x - __at[j - 1]))), 0, (a, x) -> a + x))")
-    d = d.withColumn("n_repeat_words", covered.cast("long"))
+    counted = F.struct("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "n_distinct")
     out = docs.select(*keep).columns
-    return d.select(*[F.col(n).alias(o) for n, o in zip(names, out, strict=True)], "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct")
+    return d.select(*[F.col(n).alias(o) for n, o in zip(names, out, strict=True)], F.inline(F.array(counted)))
 
 
 def base_failed() -> Column:
