@@ -173,11 +173,11 @@ def stats_by_label(spark, sf):
     return derived_graph(spark, sf).stats().filter(F.col("name").isin("Customer", "Part", "LINE", "PART_FLOW", "User", "SUPPLIES"))
 
 
-@registered("SELECT lang, source, list_sort(list(DISTINCT {'quality': quality::BIGINT, 'toxic': toxic::BIGINT})) AS variants FROM documents JOIN labels USING (doc_id) GROUP BY lang, source")
+@registered("SELECT lang, source, list_sort(list(DISTINCT quality || '/' || toxic)) AS variants FROM documents JOIN labels USING (doc_id) GROUP BY lang, source")
 def merge_rows(spark, sf):
     g = derived_graph(spark, sf)
     d = g.node_table("Document").join(g.rel_table("LABELLED"), F.col("id") == F.col("src")).join(g.node_table("Label").select(F.col("id").alias("dst"), "quality", "toxic"), "dst")
-    return tools.merged(d, ["lang", "source"], ["quality", "toxic"], "variants")
+    return tools.merged(d.withColumn("marks", F.concat_ws("/", "quality", "toxic")), ["lang", "source"], ["marks"], "variants")
 
 
 @registered("SELECT event_type AS type, list_sort(list(DISTINCT user_id::VARCHAR) FILTER (value < 50)) AS readers, list_sort(list(DISTINCT user_id::VARCHAR) FILTER (NOT value < 50)) AS writers FROM events GROUP BY event_type")
@@ -270,7 +270,7 @@ PATTERNS = [("r1", "GET", "/:lang/:id"), ("r2", "GET", "/en/*"), ("r3", "GET", "
 
 
 @registered(
-    f"""WITH p AS (SELECT 'page:' || page_id AS request, list_filter(string_split(path, '/'), x -> x <> '') AS s FROM ({PATHS})),
+    f"""WITH p AS (SELECT 'page:' || page_id AS request, [x FOR x IN string_split(path, '/') IF x <> ''] AS s FROM ({PATHS})),
     m AS (SELECT request, 'r2' AS route, 4 AS score, 'catch-all' AS match FROM p WHERE s[1] = 'en' AND len(s) >= 2 UNION ALL SELECT request, 'r3', 1, 'catch-all' FROM p
     UNION ALL SELECT request, 'r1', 4, 'parameter' FROM p WHERE len(s) = 2 UNION ALL SELECT request, 'r6', 4, 'parameter' FROM p WHERE len(s) = 2 UNION ALL SELECT request, 'r4', 5, 'parameter' FROM p WHERE len(s) = 2 AND s[1] = 'de'),
     t AS (SELECT *, max(score) OVER (PARTITION BY request) AS top FROM m) SELECT request, any_value(route) AS route, any_value(score)::INT AS score, any_value(match) AS match FROM t WHERE score = top GROUP BY request HAVING count(*) = 1"""

@@ -18,7 +18,7 @@ BUDGET_CHARS = 24_000
 
 def merged(df: DataFrame, fixed: list[str], varying: list[str], name: str) -> DataFrame:
     """Rows that are equal but for ``varying`` become one, with the varying parts in a sorted list."""
-    return df.groupBy(*fixed).agg(F.array_sort(F.collect_set(F.struct(*varying))).alias(name))
+    return df.groupBy(*fixed).agg(F.array_sort(F.collect_set(F.struct(*varying) if len(varying) > 1 else F.col(varying[0]))).alias(name))
 
 
 def best_without_tie(df: DataFrame, group: list[str], score: Column) -> DataFrame:

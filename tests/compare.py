@@ -13,11 +13,13 @@ def plain(v):
         return int(v) if v == v.to_integral_value() else float(v)
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6)
+    if hasattr(v, "asDict"):
+        v = v.asDict()
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
     if isinstance(v, dict):
         return tuple((k, plain(x)) for k, x in sorted(v.items()))
-    return plain(v.asDict()) if hasattr(v, "asDict") else v
+    return v
 
 
 def rows(names, values):
