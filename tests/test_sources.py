@@ -35,7 +35,7 @@ def test_schema_merge():
 def test_validation_and_dangling(spark, graph):
     with pytest.raises(ValueError, match="no property"):
         SCHEMA.validated("B", spark.createDataFrame([("1", 2)], "id string, z long"))
-    with pytest.raises(ValueError, match="is string"):
+    with pytest.raises(ValueError, match="not string"):
         SCHEMA.validated("A", spark.createDataFrame([("1", "2")], "id string, x string"))
     assert graph.without_dangling().rels["R"].count() == 2
     assert deduplicated(graph.rels["R"]).count() == 2
@@ -81,6 +81,12 @@ def test_exports(graph, tmp_path):
 
 
 def test_files(spark, tmp_path):
+    def imports(path, content):
+        import re
+
+        for m in re.finditer(r"import '([^']+)'", content.decode()):
+            yield path, m[1]
+
     (tmp_path / "src" / "lib").mkdir(parents=True)
     for name, text in {"src/a.ts": "import './lib/b'", "src/lib/b.ts": "x", "src/lib/index.ts": "y", "src/a.test.ts": "t", "Dockerfile": "FROM x", "skip.log": "z"}.items():
         (tmp_path / name).write_text(text)
@@ -91,7 +97,7 @@ def test_files(spark, tmp_path):
     assert {r.path for r in dirs.collect()} == {".", "src", "src/lib"} and inside.count() == 2 + 5
     cached = files.manifest(f).filter("path <> 'src/a.ts'")
     assert [r.path for r in files.changed(files.manifest(f), cached).collect()] == ["src/a.ts"]
-    found = files.facts(f, _imports, "path string, source string")
+    found = files.facts(f, imports, "path string, source string")
     got = {(r.source, r.target) for r in files.resolved_imports(found, f.select("path"), ["ts"]).collect()}
     assert got == {("./lib/b", "src/lib/b.ts")}
     i = spark.createDataFrame([("src/x.ts", "./lib"), ("src/lib/q.ts", "../a"), ("src/x.ts", "pkg")], "path string, source string")
@@ -100,13 +106,6 @@ def test_files(spark, tmp_path):
     assert [(r.name, r.value) for r in files.env_variables(env).orderBy("n").collect()] == [("A", "1"), ("B", "x y")]
 
 
-def _imports(path, content):
-    import re
-
-    for m in re.finditer(r"import '([^']+)'", content.decode()):
-        yield path, m[1]
-
-
 def test_names_resolve(spark):
     uses = spark.createDataFrame([(1, "a", "f"), (2, "b", "g"), (3, "b", "h"), (4, "b", "nope")], "use long, path string, name string")
     decl = spark.createDataFrame([("a.f", "a", "f", True), ("a.h", "a", "h", False), ("c.f", "c", "f", True)], "decl string, path string, name string, exported boolean")
