@@ -35,13 +35,12 @@ KINDS = list(PATTERNS)[:-1]
 BASE = 3
 IDENTIFIERS, SECRETS = ("access", "ident"), ("assign", "key", "hex")
 REACH = 400
-ANY = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
 
 
 def matches(text: Column, kind: str) -> Column:
     """array<struct<kind, gap, size, counted>> of all leftmost matches: code points skipped and taken."""
     k = list(PATTERNS).index(kind)
-    p = F.lit(rf"(?s)(.*?)({PATTERNS[kind]})")
+    p = F.lit(rf"(?s)\G(.*?)({PATTERNS[kind]})")  # \G: what follows the last match is read once, not from every place
     parts = F.arrays_zip(*[F.regexp_extract_all(text, p, F.lit(g)).alias(n) for g, n in ((1, "a"), (2, "b"), (3, "c"))])
     made = F.transform(parts, lambda x: F.struct(F.lit(k).alias("kind"), F.char_length(x["a"]).alias("gap"), F.char_length(x["b"]).alias("size"), F.char_length(x["c"]).alias("counted")))
     none = F.array().cast("array<struct<kind:int,gap:int,size:int,counted:int>>")
