@@ -104,6 +104,8 @@ def test_pipeline(spark, tmp_path):
         if k < len(C.STAGES) - 1:
             assert docs.columns == columns and dict(docs.dtypes) == dict(before.dtypes), name
         seen.append((before.count(), docs.count()))
+        if name == "quality_rules":
+            assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in Q.op4_quality_rules(spark, sf).filter("kept").collect()}
         if name == "line_dedup":
             kept = {d: h for d, _, _, _, h in by_hand([(r.doc_id, r.text) for r in before.collect()])}
             assert all(hashlib.sha256(r.text.encode()).hexdigest() == kept[r.doc_id] for r in docs.collect())
