@@ -14,6 +14,15 @@ and verified by their complete distance. Slots and links are over distinct finge
 Defined results: null and empty texts have fingerprint 0 and link like any other; fewer than 3 words
 are one shingle; rows with equal doc_id each give a row; null doc_ids are never a component's id
 unless it has no other; an empty table gives no rows.
+
+Two bits are near identity, so ``kept_documents`` (the pipeline's stage) takes near copies by Jaccard
+similarity of 5-word shingle sets instead, 0.8 or more, complete: under any one order of all shingles,
+two sets that similar share one of the first floor(n / 5) + 1 of each, so those prefixes are the keys
+under which documents meet; sizes and places under a key rule out most pairs before sets are read. Fingerprints can't fetch these pairs: at 0.8 they differ in 10 of 64 bits
+on average, and up to 17 were seen. The order puts frequent shingles last. A key that more than HOT sets
+have is not paired out: its sets are held against a few of them (pivots), what is similar to a pivot
+leaves the key, and only pairs that the triangle inequality of Jaccard distance allows are tried
+between what leaves and what else the key has. Sets are of 64-bit hashes; equal sets are one.
 """
 
 from __future__ import annotations
@@ -27,18 +36,26 @@ from pyspark.sql import functions as F
 from .common import shipped, written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
+COPY_SHINGLE, TENTHS = 5, 8
+#: Keys of more sets are taken by pivots; so many pivots a key and round.
+HOT, PIVOTS = 64, 16
+#: Frequent shingles (of one set in SHARE) that are put last in the order, and ids that are broadcast, at most.
+FREQUENT, SHARE, BROADCAST_IDS = 100_000, 8, 200_000
 
 
-def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
     words = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII white space
     if not words:
-        return 0
-    if len(words) <= width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(words)] if len(words) <= width else map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, max(1, len(words) - width + 1))
+    return np.fromiter((digest(x, seed) for x in shingles), np.uint64, max(1, len(words) - width + 1))
+
+
+def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
+    hashes = shingle_hashes(text, width, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -97,9 +114,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, dis
     """doc_id, text_hash, fp, component_id (the smallest doc_id that can be reached over links) and stays
     (whether this row, or one equal to it, is the one that represents the component)."""
     marked = written(fingerprints(docs, width, seed))
+    return _represented(marked, lambda fps: links(fps, distance))
+
+
+def _represented(marked: DataFrame, linked) -> DataFrame:
+    """``marked`` (doc_id, text_hash, fp) with component_id and stays; linked: distinct fps -> links (a, b)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     firsts = written(marked.groupBy("fp").agg(first))
-    roots = components(links(firsts.select("fp"), distance))
+    roots = components(linked(firsts.select("fp")))
     ids = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = written(ids)
     low = ids.groupBy("root").agg(F.min("first").alias("low"))
@@ -108,9 +130,117 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, seed: int = SEED, dis
     return marked.join(named, F.col("fp") == F.col("n_fp"), "left").select("doc_id", "text_hash", "fp", F.col("low.doc_id").alias("component_id"), stays.alias("stays"))
 
 
+def shingle_sets(docs: DataFrame, width: int = COPY_SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, text_hash, fp (a hash of the set) and shingles (distinct hashes in order) of each document."""
+    shipped(docs.sparkSession)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), width, seed).view(np.int64)) for t in b.column(2)]
+                fp = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets), np.uint64, len(sets)).view(np.int64)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), held], names=["doc_id", "text_hash", "fp", "shingles"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, shingles array<long>")
+
+
+def _prefixes(sets: DataFrame, tenths: int, last: np.ndarray) -> DataFrame:
+    """(key, fp, n, at): of each set those shingles of which similar sets share one, with the set's size and
+    the shingle's place from 0; the ordered ids ``last`` come last."""
+
+    def run(batches):
+        for b in batches:
+            for fp, x in zip(b.column(0), b.column(1), strict=True):
+                x = x.values.to_numpy()
+                n = len(x) - -(-tenths * len(x) // 10) + 1
+                if len(last) and len(x):
+                    late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
+                    x = np.concatenate([x[~late], x[late]])
+                size, x = len(x), x[:n]
+                cols = [x, np.full(len(x), fp.as_py(), np.int64), np.full(len(x), size, np.int32), np.arange(len(x), dtype=np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "fp", "n", "at"])
+
+    return sets.select("fp", "shingles").mapInArrow(run, "key long, fp long, n int, at int")
+
+
+def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, same, whole): sizes of the intersection and the union of pairs of sets; a written table."""
+    pairs = written(pairs)
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    few = sets.select("fp", "shingles").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "fp", "left_semi")
+    few = written(few.groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    x = few.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
+    y = few.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    size = F.least(F.size("x"), F.size("y")) * 10 >= F.greatest(F.size("x"), F.size("y"))
+    same = F.when(size, F.size(F.array_intersect("x", "y"))).otherwise(0)  # no use below a tenth
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", same.alias("same"), (F.size("x") + F.size("y")).alias("both")).select("a", "b", "same", (F.col("both") - F.col("same")).alias("whole")))
+
+
+def _all_pairs(keys: DataFrame, tenths: int) -> DataFrame:
+    """(a, b): pairs that meet under a key and can be similar if it is the first in order that they share."""
+    other = keys.select("key", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"))
+    met = keys.select("key", F.col("fp").alias("a"), "n", "at").join(other, "key").filter("a < b")
+    return met.filter((10 + tenths) * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) >= tenths * (F.col("n") + F.col("m"))).select("a", "b").distinct()
+
+
+def similar_sets(sets: DataFrame, tenths: int = TENTHS, hot: int = HOT, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b), a < b: links that connect all sets of Jaccard similarity tenths / 10 or more."""
+    if not 5 < tenths <= 10:
+        raise ValueError("similarity must be over 0.5")
+    shipped(sets.sparkSession)
+    several = lambda k: k.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("key", "sets")
+    # which shingles come last is only a matter of speed, so a share of the sets is enough to tell
+    part = sets.filter(F.pmod("fp", F.lit(SHARE)) == 0).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    often = part.filter(F.col("n") * SHARE > hot).orderBy(F.col("n").desc(), "key").limit(FREQUENT).collect()
+    keys = _prefixes(sets, tenths, np.array(sorted(r.key for r in often), np.int64))
+    sizes = written(several(keys))
+    keys = written(keys.join(sizes, "key").distinct())
+    cold = keys.filter(F.col("sets") <= hot)
+    rest = written(keys.filter(F.col("sets") > hot).select("key", "fp", "n", "at"))
+    good = F.col("same") * 10 >= F.col("whole") * tenths
+    found = [_similarities(_all_pairs(cold, tenths), sets).filter(good).select("a", "b")]
+    # a far set is linked to nothing that a pivot takes: distances 1 - s/w add up
+    far = 2 * tenths - 10
+    while not rest.isEmpty():
+        at = F.row_number().over(Window.partitionBy("key").orderBy("fp"))
+        chosen = written(rest.withColumn("r", at).filter(F.col("r") <= pivots).select("key", F.col("fp").alias("p")))
+        tried = rest.join(chosen, "key").filter("fp <> p").select(F.col("p").alias("a"), F.col("fp").alias("b")).distinct()
+        s = _similarities(tried, sets)
+        found.append(s.filter(good).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        held = rest.join(chosen.select("key", F.col("p").alias("fp"), F.lit(True).alias("pivot")), ["key", "fp"], "left")
+        # what a pivot takes leaves only the keys that they share
+        mine = rest.join(chosen, "key").join(s.filter(good).select(F.col("a").alias("p"), F.col("b").alias("fp"), (F.col("same") / F.col("whole")).alias("near")), ["p", "fp"])
+        mine = written(mine.groupBy("key", "fp").agg(F.min(F.struct("p", "near")).alias("t")))
+        stay = written(held.filter("pivot is null").join(mine.select("key", "fp"), ["key", "fp"], "left_anti").select("key", "fp", "n", "at"))
+        edge = s.filter((F.col("same") * 10 < F.col("whole") * tenths) & (F.col("same") * 10 >= F.col("whole") * far)).select(F.col("a").alias("p"), F.col("b").alias("y"), (F.col("same") / F.col("whole")).alias("off"))
+        link = s.filter(good).select("a", "b")
+        tied = link.select(F.col("a").alias("p"), F.col("b").alias("m")).join(link.select(F.col("a").alias("m"), F.col("b").alias("y")), "m").select("p", "y").distinct()
+        edge = rest.select("key", F.col("fp").alias("y")).join(chosen, "key").join(edge.join(tied, ["p", "y"], "left_anti"), ["p", "y"]).select("key", "p", "y", "off")
+        cross = mine.select("key", F.col("fp").alias("x"), "t.p", "t.near").join(edge, ["key", "p"]).filter((F.col("x") != F.col("y")) & (F.col("near") - F.col("off") <= 1 - tenths / 10 + 1e-9))
+        cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found.append(_similarities(cross, sets).filter(good).select("a", "b"))
+        left = written(several(stay))
+        found.append(_similarities(_all_pairs(stay.join(left.filter(F.col("sets") <= hot).select("key"), "key", "left_semi"), tenths), sets).filter(good).select("a", "b"))
+        rest = written(stay.join(left.filter(F.col("sets") > hot).select("key"), "key", "left_semi"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
+def near_copies(docs: DataFrame, width: int = COPY_SHINGLE, tenths: int = TENTHS) -> DataFrame:
+    """As ``near_duplicates``, linked by Jaccard similarity of shingle sets; fp is the set's hash."""
+    sets = written(shingle_sets(docs, width))
+    return _represented(sets.select("doc_id", "text_hash", "fp"), lambda _: similar_sets(sets, tenths))
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id (then text hash), its repeats dropped."""
-    ids = near_duplicates(docs).filter("stays").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct()
+    """``docs`` with one row of each component of near copies: the smallest doc_id (then text hash), its repeats dropped."""
+    ids = near_copies(docs).filter("stays").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct()
     held = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"))
     alive = held.join(ids, F.col("__hash").eqNullSafe(F.col("k_hash")) & F.col("__id").eqNullSafe(F.col("k_id")), "left_semi")
     at = F.row_number().over(Window.partitionBy("__hash", "__id").orderBy("__hash"))
