@@ -82,6 +82,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, most: int = 10_000) -> DataFra
         levels.append(level)
         if len(levels) % 16 == 0:
             levels = [written(reduce(DataFrame.unionByName, levels[:-1])), levels[-1]]
+    else:
+        raise RuntimeError(f"reachable: not done after {most} rounds")
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -101,6 +103,8 @@ def propagated(edges: DataFrame, facts: DataFrame, most: int = 10_000) -> DataFr
         known.append(level)
         if len(known) % 16 == 0:
             known = [written(reduce(DataFrame.unionByName, known[:-1])), known[-1]]
+    else:
+        raise RuntimeError(f"propagated: not done after {most} rounds")
     return reduce(DataFrame.unionByName, known)
 
 
@@ -115,6 +119,8 @@ def min_labels(edges: DataFrame, labels: DataFrame, most: int = 10_000) -> DataF
         now, changed = out.select("id", "label"), out.filter("new").select("id", "label")
         if changed.isEmpty():
             break
+    else:
+        raise RuntimeError(f"min_labels: not done after {most} rounds")
     return now
 
 

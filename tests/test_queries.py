@@ -57,3 +57,16 @@ def test_louvain(spark):
     assert got == {**dict.fromkeys("abcd", "a"), **dict.fromkeys("wxyz", "w")}
     s = {r.community: (r.members, r.inside, r.outside) for r in components.communities_summary(components.louvain(p), p).collect()}
     assert s == {"a": (4, 6, 1), "w": (4, 6, 1)}
+
+
+def test_long_cycles_and_limits(spark):
+    from quiltgraph.operators import components, traverse
+
+    ring = [(k, (k + 1) % 40) for k in range(40)] + [(50, 51), (51, 50)]
+    e = spark.createDataFrame(ring, "src long, dst long")
+    got = {r.component: (r.length, list(r.cycle)) for r in components.shortest_cycles(e, components.scc(e)).collect()}
+    assert got == {0: (40, list(range(40))), 50: (2, [50, 51])}
+    seed, fact = spark.createDataFrame([(0,)], "id long"), spark.createDataFrame([(0, "f")], "id long, fact string")
+    for call in (lambda: traverse.reachable(e, seed, 3), lambda: traverse.propagated(e, fact, 3), lambda: traverse.min_labels(e, e.select(e.src.alias("id"), e.src.alias("label")), 3)):
+        with pytest.raises(RuntimeError, match="not done after 3 rounds"):
+            call()
