@@ -120,3 +120,12 @@ def test_pipeline(spark, tmp_path):
         out = stage(spark, empty, sf)
         assert out.count() == 0
     assert C.run(spark, sf).count() == seen[-1][1]
+
+
+def test_which_documents_go(spark):
+    from quiltgraph.llm.line_dedup import deduplicated
+
+    long = "this passage of many words is in all documents and is long, " * 2
+    docs = [(1, f"{long}\nshared short"), (2, f"{long}\nmy own rose"), (3, f"{long}\nshared short\n \n"), (4, long), (5, f"{long}\nmy own rose\nshared short\n"), (6, "shared short"), (7, None), (8, f"{long}\ntwice\ntwice"), (None, f"{long}\ntwice")]
+    out = deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == {1: docs[0][1], 2: "my own rose", 6: "shared short", 7: None, 8: "twice\ntwice"}
