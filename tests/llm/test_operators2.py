@@ -70,11 +70,52 @@ def test_topk_with_odd_vectors(spark, tmp_path):
     one = {i for i in merged if i != 100}  # 100 has two query rows
     assert {tuple(r) for r in got if r.query_id in one} == {w for w in want if w[0] in one}
     e = topk.whole_vectors(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), "vec_id", "embedding", 1024.0)
-    small = topk.top_k(e, e.filter("id % 100 = 0"), 10, block=2).collect()  # several passes
+    small = topk.top_k(e, e.filter("id % 100 = 0"), 10, block_bytes=150).collect()  # several passes
     assert sorted(map(tuple, small)) == sorted(map(tuple, got))
     assert topk.topk_report(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_topk_of_large_components(spark):
+    """Scores in whole numbers of any size, ranked exactly; those beyond a long come back as the nearest long."""
+    import random
+
+    from quiltgraph.llm import topk
+
+    random.seed(5)
+    rows = [(k, [random.choice([-1.0, 1.0, 1e10, -1e10, 1e10 + 3, 0.5, 1e17, 1e300, -1e300]) if k % 7 == 0 else random.uniform(-1, 1) for _ in range(4)]) for k in range(0, 260)]
+    rows += [(400, [1e308] * 4), (500, [1e17, 1.0, 2.0, 3.0])]
+    got = topk.topk_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    v = [(i, [int(x * 1024 // 1) for x in e]) for i, e in rows if i != 400]
+    want = []
+    for i, q in v:
+        if i % 100 == 0:
+            s = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in v if j != i)[:10]
+            want += [(i, k + 1, j, max(-topk.LONG, min(topk.LONG, -n))) for k, (n, j) in enumerate(s)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_topk_rules_pairs_out(spark):
+    """On vectors whose energy lies in their means the levels leave few pairs, and the results stay exact."""
+    import numpy as np
+
+    from quiltgraph.llm import topk
+
+    rng = np.random.default_rng(1)
+    base = np.repeat(rng.normal(size=(40, 4)), 8, axis=1)
+    rows = [(k, [float(c) for c in base[k % 40] + rng.normal(size=32) * 0.05]) for k in range(3000)]
+    v = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 1024.0)
+    q = v.filter("id % 100 = 0")
+    pairs = {r.level: r.pairs for r in topk.survivors(v, q).collect()}
+    assert pairs[0] == 30 * 2999 and sorted(pairs.values(), reverse=True) == [pairs[k] for k in sorted(pairs)]
+    assert pairs[2] < pairs[0] / 10 and pairs[4] < pairs[0] / 20
+    whole = np.floor(np.array([x for _, x in rows]) * 1024)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(v, q).collect()}
+    for i in range(0, 3000, 100):
+        s = whole @ whole[i]
+        best = sorted((-int(n), j) for j, n in enumerate(s) if j != i)[:10]
+        assert [got[i, k + 1] for k in range(10)] == [(j, -n) for n, j in best]
+
+
 def test_classifier_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = Q.op9_quality_classifier(spark, sf)
