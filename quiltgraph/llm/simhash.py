@@ -3,13 +3,18 @@
 A document's fingerprint is the bitwise majority of the XXH64 values (seed 42) of its 3-word
 shingles. Fingerprints link at 2 or fewer differing bits.
 
-The 64 bits are two segments of 32. Two fingerprints at distance 2 or less differ by at most 1 bit
-in one of them, so each fingerprint enumerates the radius-1 ball of each segment. A segment's table
-is keyed by the flipped segment together with the other one as it is: two linked fingerprints with
-differing bits in both segments, or in one, always meet at the point between them, and unrelated
-fingerprints that share half their bits do not. So a table slot never holds more than the 65 points
-of a ball, whatever the size of a group of copies; within a slot, neighbours in order are fetched
-and verified by their complete distance. Slots and links are over distinct fingerprints.
+The 64 bits are two segments of 32, a table each, which holds every fingerprint under its segment. If
+two fingerprints differ in 2 bits or less, either the first segments differ in at most 1, or in 2, and
+then the second segments are equal. So the first table is probed with the radius-1 ball of a
+fingerprint's first segment, the second one with its second segment alone. As a pair one flip apart is
+found from its lower side, only flips of zero bits are probed: 18 probes and 2 entries a fingerprint on
+average. What a probe meets is a candidate, and its complete distance is verified.
+
+A bucket of over HOT fingerprints (near copies by the thousand share half their bits) is split by the
+other segment: its entries stand under each point of the radius-1 ball of the other segment, and what
+probes it goes to the points that it can share with an entry. All that meets in such a part is within
+2 bits, so each part links to its least entry: no part is paired out, no link between groups is lost.
+Buckets and links are over distinct fingerprints.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; fewer than 3 words
 are one shingle; rows with equal doc_id each give a row; null doc_ids are never a component's id
@@ -18,8 +23,8 @@ unless it has no other; an empty table gives no rows.
 Two bits are near identity, so ``kept_documents`` (the pipeline's stage) takes near copies by Jaccard
 similarity of 5-word shingle sets instead, 0.8 or more, complete: under any one order of all shingles,
 two sets that similar share one of the first floor(n / 5) + 1 of each, so those prefixes are the keys
-under which documents meet; sizes and places under a key rule out most pairs before sets are read. Fingerprints can't fetch these pairs: at 0.8 they differ in 10 of 64 bits
-on average, and up to 17 were seen. The order puts frequent shingles last. A key that more than HOT sets
+under which documents meet; sizes and places under a key rule out most pairs before sets are read.
+Fingerprints can't fetch these pairs: at 0.8 they differ in 10 of 64 bits on average, and up to 17 were seen. The order puts frequent shingles last. A key that more than HOT sets
 have is not paired out: its sets are held against a few of them (pivots), what is similar to a pivot
 leaves the key, and only pairs that the triangle inequality of Jaccard distance allows are tried
 between what leaves and what else the key has. Sets are of 64-bit hashes; equal sets are one.
@@ -37,7 +42,9 @@ from .common import shipped, written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 COPY_SHINGLE, TENTHS = 5, 8
-#: Keys of more sets are taken by pivots; so many pivots a key and round.
+#: The second segment's bits, and what marks keys of its table.
+SECOND, TABLE = (1 << 32) - 1, 1 << 32
+#: Buckets of more fingerprints are split, keys of more sets are taken by pivots; so many pivots a key and round.
 HOT, PIVOTS = 64, 16
 #: Frequent shingles (of one set in SHARE) that are put last in the order, and ids that are broadcast, at most.
 FREQUENT, SHARE, BROADCAST_IDS = 100_000, 8, 200_000
@@ -76,15 +83,54 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> Dat
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b), a < b: links between distinct fingerprints that connect all within ``distance`` (2 at most)."""
+def probes(fps: DataFrame) -> DataFrame:
+    """(key, fp, flips): the buckets that a fingerprint is looked up in; flips is 1 where the first segment has one bit more."""
+    first, second = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(SECOND))
+    ball = "filter(transform(sequence(0, 31), i -> shiftleft(1L, i)), b -> (shiftrightunsigned(fp, 32) & b) = 0)"
+    own = F.array(F.struct(first.alias("key"), F.lit(0).alias("flips")), F.struct(second.bitwiseOR(F.lit(TABLE)).alias("key"), F.lit(0).alias("flips")))
+    near = F.expr(f"transform({ball}, b -> struct((shiftrightunsigned(fp, 32) | b) as key, 1 as flips))")
+    return fps.select("fp", F.explode(F.concat(own, near)).alias("p")).select("p.key", "fp", "p.flips")
+
+
+def entries(fps: DataFrame) -> DataFrame:
+    """(key, fp): the two tables; keys of the second one have a bit of their own."""
+    first, second = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(SECOND))
+    return fps.select(F.explode(F.array(first, second.bitwiseOR(F.lit(TABLE)))).alias("key"), "fp")
+
+
+def _other(key: str = "key") -> str:
+    """The segment that isn't the bucket's, as an SQL expression."""
+    return f"if({key} >= {TABLE}L, shiftrightunsigned(fp, 32), fp & {SECOND}L)"
+
+
+def _marked(rows: DataFrame, hot: DataFrame, few: bool) -> DataFrame:
+    return rows.join(F.broadcast(hot) if few else hot, "key", "left")
+
+
+def candidates(probed: DataFrame, table: DataFrame) -> DataFrame:
+    """(a, b, distance): what probes meet in the table, a pair once."""
+    met = probed.join(table.select("key", F.col("fp").alias("other")), "key").filter("flips = 1 or fp < other")
+    return met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"), F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))).alias("distance"))
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: links between distinct fingerprints that connect all within ``distance``."""
     if distance != 2:
-        raise ValueError("the segment tables are laid out for 2 bits")
-    ball = F.expr("concat(array(fp), transform(sequence(0, 31), i -> fp ^ shiftleft(1L, i)), transform(sequence(32, 63), i -> fp ^ shiftleft(1L, i)))")
-    slots = fps.select("fp", F.explode(ball).alias("slot"))
-    before = F.lag("fp").over(Window.partitionBy("slot").orderBy("fp"))
-    met = slots.select("fp", before.alias("a")).filter("a is not null")
-    return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance).select("a", F.col("fp").alias("b")).distinct()
+        raise ValueError("two segments and a radius of 1 are laid out for 2 bits")
+    table, probed = entries(fps), probes(fps)
+    crowded = written(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key", F.lit(True).alias("hot")))
+    n = crowded.count()
+    if not n:
+        return candidates(probed, table).filter(F.col("distance") <= distance).select("a", "b").distinct()
+    table, probed = _marked(table, crowded, n <= BROADCAST_IDS), _marked(probed, crowded, n <= BROADCAST_IDS)
+    found = candidates(probed.filter("hot is null"), table.filter("hot is null").drop("hot")).filter(F.col("distance") <= distance).select("a", "b")
+    point = f"concat(array({_other()}), transform(sequence(0, 31), i -> {_other()} ^ shiftleft(1L, i)))"
+    parts = table.filter("hot").select("key", "fp", F.explode(F.expr(point)).alias("point"))
+    # an entry of the bucket meets others at the points of its ball; one flip off, at its other segment as it is
+    near = probed.filter("hot and flips = 1").select("key", "fp", F.expr(_other()).alias("point"))
+    least = parts.groupBy("key", "point").agg(F.min("fp").alias("least"))
+    met = parts.unionByName(near).join(least, ["key", "point"]).filter("fp <> least")
+    return found.unionByName(met.select(F.least("fp", "least").alias("a"), F.greatest("fp", "least").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

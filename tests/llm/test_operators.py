@@ -217,6 +217,46 @@ def test_simhash_against_all_pairs(spark, odd):
         assert Counter(tuple(r) for r in Q.op8_simhash(spark, sf).collect()) == want
 
 
+def test_links_against_all_pairs(spark):
+    """Candidates are rejected by their distance; split buckets connect what all pairs connect."""
+    from quiltgraph.llm import simhash
+
+    random.seed(6)
+    flip = lambda x, n: x ^ sum(1 << b for b in random.sample(range(64), n))
+    base = [random.getrandbits(64) for _ in range(6)]
+    fps = {0, (1 << 64) - 1, *base}
+    for b in base[:3]:
+        fps |= {flip(b, random.randint(1, 4)) for _ in range(120)}
+    fps |= {base[3] ^ (random.getrandbits(32) << 32) for _ in range(60)} | {base[4] ^ random.getrandbits(32) for _ in range(60)}
+    fps |= {base[5] ^ random.choice([1 << 32, 1 << 40, 0]) ^ sum(1 << k for k in random.sample(range(32), random.randint(0, 3))) for _ in range(200)}
+    fps = sorted(fps)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    root = {x: x for x in fps}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 2:
+                root[find(a)] = find(b)
+    want = {frozenset(signed(y) for y in fps if find(y) == x) for x in {find(x) for x in fps}}
+    for hot in (3, 20, 1000):
+        found = simhash.components(simhash.links(df, hot=hot)).collect()
+        got: dict = {}
+        for r in found:
+            got.setdefault(r.root, set()).add(r.node)
+        assert {frozenset(x) for x in got.values()} == {x for x in want if len(x) > 1}
+        assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 2 for r in simhash.links(df, hot=hot).collect())
+    met = simhash.candidates(simhash.probes(df), simhash.entries(df))
+    assert met.filter("distance > 2").count() > 0 and met.filter("distance <= 2").count() > 0
+    rows = simhash.probes(df).count() + 2 * len(fps)
+    assert rows < 36 * len(fps)
+
+
 def test_components_on_long_chains(spark):
     from quiltgraph.llm import simhash
 
