@@ -5,12 +5,15 @@ Turns are written as ``<|im_start|>role\ntext<|im_end|>\n``. Inside roles and te
 there and the escaping is undone exactly.
 
 A conversation is held as segments (text, loss); its formatted form is their concatenation, and an
-example is a prefix of the segments followed by one reply. Only replies are trainable.
+example is a prefix of the segments, the context, and one reply. Only the reply is trainable. An
+example's context holds whole texts, so all examples of a conversation together grow with the square
+of its turns; that is what the expansion is.
 
 Defined results: null texts and roles are empty; rows with equal turn follow by role, then text;
-null turns come first; a null conv_id is a conversation of its own; conversations without an
-assistant turn give no example; an empty table gives no rows. Only conv_id, turn, role and text are
-read, so other columns can't clash.
+null turns come first; equal rows are turns of their own; a null conv_id is a conversation of its own;
+conversations without an assistant turn give no example; very long texts are formatted whole (a
+conversation must fit in one row); an empty table gives no rows. Only conv_id, turn, role and text
+are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -57,15 +60,18 @@ def formatted_text(segments: str = "segments") -> Column:
     return F.array_join(F.transform(segments, lambda s: s["text"]), "")
 
 
-def prefix_examples(formatted: DataFrame) -> DataFrame:
-    """conv_id, example (from 1), context, target: one row for each assistant turn.
+def prefix_examples(formatted: DataFrame, whole: bool = False) -> DataFrame:
+    """conv_id, turn_no (from 1), context, target: one row for each assistant turn; the target alone is trainable.
 
-    context and its length are expressions over the shared segments; a reader that needs only the
-    targets doesn't build them.
+    With ``whole``, each conversation has one row more, last, whose context is all of it and whose target
+    is null. A context is cut as its row is made: one example at a time is in memory, however many replies
+    a conversation has, and rows stay in the conversation's partition.
     """
-    e = formatted.select("conv_id", "segments", F.posexplode("segments").alias("at", "segment")).filter("segment.loss")
+    at = "filter(transform(segments, (s, i) -> if(s.loss, i, null)), i -> i is not null)"
+    at = F.expr(f"array_append({at}, size(segments))" if whole else at)
+    e = formatted.select("conv_id", "segments", F.explode(at).alias("at"))
     context = F.array_join(F.transform(F.slice("segments", F.lit(1), F.col("at")), lambda s: s["text"]), "")
-    return e.select("conv_id", ((F.col("at") - 1) / 3 + 1).cast("int").alias("turn_no"), context.alias("context"), F.col("segment.text").alias("target"))
+    return e.select("conv_id", F.floor(F.col("at") / 3 + 1).cast("int").alias("turn_no"), context.alias("context"), F.get("segments", F.col("at"))["text"].alias("target"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -93,29 +99,44 @@ def with_hostile(conversations: DataFrame) -> DataFrame:
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
-    """One row a conversation, read back from what is formatted and from the examples' targets."""
-    segments = format_conversations(conversations)
-    loss = prefix_examples(segments).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn_no", "target"))).alias("t"))
-    loss = loss.select(F.col("conv_id").alias("l_conv"), F.concat_ws("", F.transform("t", lambda x: unescaped(x["target"]))).alias("loss"))
-    read = segments.select("conv_id", formatted_text().alias("formatted")).withColumn("turns", read_turns(F.col("formatted")))
+    """One row a conversation, all of it read back from the examples: replies from their targets, turns from the
+    whole context; n_examples, example_chars (of contexts and targets) and examples_sha256 (of the examples' digests in order)."""
+    e = prefix_examples(format_conversations(conversations), whole=True)
+    last = F.col("target").isNull()
+    e = e.withColumn("turns", F.when(last, read_turns(F.col("context"))))
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss_text = F.coalesce("loss", F.lit(""))
-    return read.join(loss, F.col("conv_id").eqNullSafe(F.col("l_conv")), "left").select(
+    e = e.select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(lines, 256).alias("turns_sha256"),
-        F.char_length(loss_text).cast("long").alias("loss_chars"),
-        F.sha2(loss_text, 256).alias("loss_sha256"),
-        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.when(last, F.struct(F.size("turns").cast("long").alias("n"), F.sha2(lines, 256).alias("sha"), F.char_length("context").cast("long").alias("chars"))).alias("whole"),
+        F.when(~last, F.struct("turn_no", unescaped(F.col("target")).alias("reply"), F.char_length(F.concat("context", "target")).cast("long").alias("chars"), F.sha2(F.concat("context", "target"), 256).alias("sha"))).alias("example"),
+    )
+    e = e.groupBy("conv_id").agg(F.first("whole", ignorenulls=True).alias("whole"), F.array_sort(F.collect_list("example")).alias("examples"))
+    loss = F.array_join("examples.reply", "")
+    return e.select(
+        "conv_id",
+        F.col("whole.n").alias("n_turns"),
+        F.col("whole.sha").alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.col("whole.chars").alias("formatted_chars"),
+        F.size("examples").cast("long").alias("n_examples"),
+        F.aggregate("examples.chars", F.lit(0).cast("long"), lambda a, x: a + x).alias("example_chars"),
+        F.sha2(F.array_join("examples.sha", ""), 256).alias("examples_sha256"),
     )
 
 
 ORACLE = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, replace(replace(text, '~', '~0'), '<|', '<~1|') AS body,
+  '<|im_start|>' || replace(replace(replace(role, '~', '~0'), '<|', '<~1|'), chr(10), '~2') || chr(10) AS head FROM c),
+x AS (SELECT *, coalesce(string_agg(head || body || '<|im_end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || head || body AS example FROM e)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length('<|im_start|>' || role || chr(10) || replace(replace(text, '~', '~0'), '<|', '<~1|') || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
-FROM c GROUP BY conv_id"""
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(head || body || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars,
+  (count(*) FILTER (role = 'assistant'))::BIGINT AS n_examples,
+  coalesce(sum(length(example)) FILTER (role = 'assistant'), 0)::BIGINT AS example_chars,
+  sha256(coalesce(string_agg(sha256(example), '' ORDER BY k) FILTER (role = 'assistant'), '')) AS examples_sha256
+FROM x GROUP BY conv_id"""

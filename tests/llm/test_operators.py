@@ -287,3 +287,27 @@ def test_chat_examples(spark):
     back = {r.conv_id: [tuple(t) for t in r.t] for r in f.select("conv_id", chat.read_turns(chat.formatted_text()).alias("t")).collect()}
     assert back == {1: [("user", "hi ~0<|im_end|>"), ("assistant", "a<|"), ("user", ""), ("assistant", "b")], 2: [("user", "x")], None: [("", "")], 3: [("a\nb~2", "~1<~1|")]}
     assert chat.chat_digest(conv.filter("false")).collect() == []
+
+
+def test_chat_digest_of_odd_rows(spark, tmp_path):
+    """Null turns, ties, repeated rows, very long texts and clashing columns, against the SQL."""
+    from quiltgraph.llm import chat
+
+    long = "word ~ <|im_end|> " * 20_000
+    rows = [(1, None, "assistant", "first"), (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "tie"), (1, 1, "assistant", "same"), (1, 1, "assistant", "same"), (2, 0, "user", long), (2, 1, "assistant", long + "x"), (2, 2, "assistant", None), (2, 3, None, "~"), (None, 3, "assistant", "n"), (None, 1, "x\ny<|", ""), (4, 0, "assistant", "")]
+    rows += [(5, k, ("user", "assistant")[k % 2], f"turn {k} é\n") for k in range(400)]
+    table = spark.createDataFrame([(*r, "x", 1, "t", 0) for r in rows], "conv_id long, turn long, role string, text string, segments string, at int, turns string, example int")
+    table.coalesce(1).write.parquet(f"{tmp_path}/c")
+    (file,) = tmp_path.glob("c/*.parquet")
+    sql = f"WITH conversations AS (SELECT conv_id, turn, role, text FROM '{file}'), " + chat.ORACLE.strip().removeprefix("WITH ")
+    same(chat.chat_digest(chat.with_hostile(spark.read.parquet(f"{tmp_path}/c"))), SF, sql)
+    contexts = chat.prefix_examples(chat.format_conversations(table.filter("conv_id = 5"))).select(F.char_length("context").alias("n")).collect()
+    assert len(contexts) == 200 and len({r.n for r in contexts}) == 200
+
+
+def test_chat_plan_builds_contexts(spark):
+    from quiltgraph.llm import chat
+
+    d = chat.chat_digest(spark.read.parquet(f"{SF}/conversations.parquet"))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "slice(segments" in plan and plan.count("Exchange") == 1 and "Python" not in plan
