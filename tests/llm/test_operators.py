@@ -144,40 +144,95 @@ def test_quality_statistics(spark, odd):
         assert got == want
 
 
-def test_quality_estimates_against_numpy(spark):
-    """The estimates are those of concentration steps done in numpy on the same vectors."""
+def least_determinant(x):
+    """(mean, Cholesky factor) of the least determinant that concentration steps reach from the two starts, in numpy."""
     import numpy as np
 
     from quiltgraph.llm import quality_rules as R
 
-    sf = "/root/testdata/sf0.01"
-    stats = R.with_statistics(Q.documents(spark, sf), [F.col(c) for c in ("doc_id", "lang", "source")])
+    floors = np.diag(np.array(R.FLOORS) ** 2)
+    n = len(x)
+    med = np.median(x, 0)
+    mad = np.median(np.abs(x - np.floor(med + 0.5)), 0)
+    scale = np.sqrt((1.4826 * mad / R.UNIT) ** 2 + np.diag(floors))
+    z = (x / R.UNIT - med / R.UNIT) / scale
+    size = np.maximum((z * z).sum(1), 1e-12)
+    signs = np.array([[np.trunc(z[:, i] * z[:, j] / size * R.SIGNS + np.copysign(0.5, z[:, i] * z[:, j])).sum() for j in range(R.P)] for i in range(R.P)]) / n / R.SIGNS
+    best = None
+    for cov in (np.diag(scale**2), R.P * signs * np.outer(scale, scale) + floors):
+        mean, was = med / R.UNIT, None
+        while True:
+            y = np.linalg.solve(np.linalg.cholesky(cov), (x / R.UNIT - mean).T)
+            bins = np.floor(np.log((y * y).sum(0) + 1e-6) * R.BIN)
+            k = np.sort(bins)[int(np.ceil(R.SUBSET * n)) - 1]
+            near = x[bins <= k] / R.UNIT
+            new = np.cov(near.T, bias=True) * R.CONSISTENT + floors
+            to = np.linalg.slogdet(new)[1]
+            if was is not None and not to < was[0] - R.GAIN:
+                break
+            mean, cov = near.mean(0), new
+            was = (to, mean, np.linalg.cholesky(cov))
+        if best is None or was[0] < best[0]:
+            best = was
+    return best[1:]
+
+
+def check_quality(spark, docs):
+    """Estimates and verdicts of every document against numpy."""
+    import numpy as np
+
+    from quiltgraph.llm import quality_rules as R
+
+    stats = R.with_statistics(docs, [F.col(c) for c in ("doc_id", "lang", "source")]).cache()
     rows = stats.select("*", *R.vector(), R.base_failed().alias("bad")).collect()
-    groups = defaultdict(list)
-    for r in rows:
-        groups[r.lang].append(r)
     est = {(r.g_lang, r.g_source): r for r in R.fit(stats).collect()}
-    checked = 0
-    for lang, members in groups.items():
-        own = Counter(r.source for r in members if not r.bad)
-        assert max(own.values()) < R.LEAST  # at this size all groups are pooled by language
-        x = np.array([[r[f"x{i}"] for i in range(R.P)] for r in members if not r.bad], float)
-        med = np.median(x, 0)
-        mad = np.median(np.abs(x - np.floor(med + 0.5)), 0)
-        mean, cov = med / R.UNIT, np.diag((1.4826 * mad / R.UNIT) ** 2 + np.array(R.FLOORS) ** 2)
-        for _ in range(R.STEPS):
-            d = x / R.UNIT - mean
-            d2 = (d @ np.linalg.inv(cov) * d).sum(1)
-            bins = np.floor(np.log(d2 + 1e-6) * R.BIN)
-            near = x[bins <= np.percentile(bins, 100 * R.SUBSET)] / R.UNIT
-            mean = near.mean(0)
-            cov = np.cov(near.T, bias=True) * R.CONSISTENT + np.diag(np.array(R.FLOORS) ** 2)
-        e = est[lang, members[0].source]
-        assert np.allclose([e[f"m{i}"] for i in range(R.P)], mean, atol=1e-6)
-        c = np.linalg.cholesky(cov)
-        assert np.allclose([e[f"c{i}{j}"] for i in range(R.P) for j in range(i + 1)], [c[i, j] for i in range(R.P) for j in range(i + 1)], atol=1e-6)
-        checked += 1
-    assert checked == 4
+    kept = {r.doc_id: (r.kept, r.distance) for r in R.quality_report(docs).collect()}
+    by = {"own": defaultdict(list), "lang": defaultdict(list), "all": defaultdict(list)}
+    for r in rows:
+        for kind, key in (("own", (r.lang, r.source)), ("lang", r.lang), ("all", None)):
+            if not r.bad:
+                by[kind][key].append([r[f"x{i}"] for i in range(R.P)])
+    found, used = {}, Counter()
+    for r in rows:
+        key = next((k for k in (("own", (r.lang, r.source)), ("lang", r.lang), ("all", None)) if len(by[k[0]][k[1]]) >= R.LEAST), None)
+        if key is None:
+            assert kept[r.doc_id] == (not r.bad, None)
+            continue
+        if key not in found:
+            found[key] = least_determinant(np.array(by[key[0]][key[1]], float))
+        mean, c = found[key]
+        e = est[r.lang, r.source]
+        assert np.allclose([e[f"m{i}"] for i in range(R.P)], mean, atol=1e-9)
+        assert np.allclose([e[f"c{i}{j}"] for i in range(R.P) for j in range(i + 1)], [c[i, j] for i in range(R.P) for j in range(i + 1)], atol=1e-9)
+        y = np.linalg.solve(c, np.array([r[f"x{i}"] for i in range(R.P)]) / R.UNIT - mean)
+        d2 = float(y @ y)
+        assert abs(kept[r.doc_id][1] - d2) < 1e-6 * (1 + d2)
+        assert kept[r.doc_id][0] == (not r.bad and d2 <= R.CUT)
+        used[key[0]] += 1
+    return used, kept
+
+
+def test_quality_estimates_and_verdicts_against_numpy(spark):
+    docs = Q.documents(spark, "/root/testdata/sf0.01")
+    used, kept = check_quality(spark, docs)
+    assert used["lang"] > 500 and not all(k for k, _ in kept.values())
+    big = docs.withColumn("source", F.when(F.col("doc_id") % 11 == 0, "tiny").when(F.col("doc_id") % 2 == 0, "even").otherwise(None))
+    big = big.withColumn("lang", F.when(F.col("doc_id") % 97 == 0, "rare").otherwise(F.col("lang")))
+    used, _ = check_quality(spark, big)
+    assert used["own"] > 300 and used["lang"] > 20 and used["all"] > 5
+    assert check_quality(spark, docs.limit(40))[0] == {}
+
+
+def test_quality_judges_small_sources(spark):
+    from quiltgraph.llm import quality_rules as R
+
+    random.seed(8)
+    text = lambda: " ".join("".join(random.choices("abcdefgh", k=random.randint(3, 9))) for _ in range(random.randint(80, 200)))
+    junk = lambda: " ".join("".join(random.choices("#$%&*", k=6)) for _ in range(100))
+    rows = [(k, text(), "en", "web") for k in range(200)] + [(1000 + k, junk(), "en", "tiny") for k in range(5)] + [(2000 + k, junk(), "xx", "other") for k in range(3)] + [(3000, text(), "yy", None)]
+    kept = {r.doc_id: r.kept for r in R.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(kept[k] for k in (*range(1000, 1005), *range(2000, 2003)))
+    assert kept[3000] and sum(kept[k] for k in range(200)) >= 198
 
 
 def test_simhash_against_all_pairs(spark, odd):
