@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 from quiltgraph.llm import queries as Q
@@ -17,9 +18,13 @@ def close(a, b):
     return m - p - s <= 1
 
 
+def compared(x):
+    return len(x) >= 30 or len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= 3
+
+
 def by_hand(docs):
     """docs: distinct (doc_id, text) -> (doc_id, n_compared, n_removed, n_links, kept_text)."""
-    lines = [(d, k, x) for d, t in docs for k, x in enumerate((t or "").split("\n")) if len(x) >= 30]
+    lines = [(d, k, x) for d, t in docs for k, x in enumerate((t or "").split("\n")) if compared(x)]
     order = sorted(lines)
     first = {}
     for d, k, x in order:
@@ -28,7 +33,7 @@ def by_hand(docs):
     near = {x: [] for x in names}
     for i, a in enumerate(names):
         for b in names[:i]:
-            if close(a, b):
+            if min(len(a), len(b)) >= 30 and close(a, b):
                 near[a].append(b)
                 near[b].append(a)
     out = []
@@ -37,7 +42,7 @@ def by_hand(docs):
         kept = []
         for k, x in enumerate((t or "").split("\n")):
             drop = False
-            if len(x) >= 30:
+            if compared(x):
                 n += 1
                 links += len(near[x])
                 drop = first[x] != (d, k) or any(first[y] < first[x] for y in near[x])
@@ -54,7 +59,7 @@ def planted():
     lines = [base, base[:-1], base[1:], "x" + base, base[:30] + "é" + base[30:], base[:20] + "y" + base[21:], base[:20] + "zz" + base[22:], "short", "", base]
     hot = ["".join(random.choices("pq", k=8)) + "m" * 40 for _ in range(200)] + ["m" * 40 + "".join(random.choices("rs", k=7)) for _ in range(200)]
     lines += hot
-    return [(k, "\n".join(lines[k::37])) for k in range(37)] + [(100, None), (101, ""), (102, lines[0] + "\n" + lines[0]), (103, lines[0])]
+    return [(k, "\n".join(lines[k::37])) for k in range(37)] + [(100, None), (101, ""), (102, lines[0] + "\n" + lines[0]), (103, lines[0]), (104, "All rights reserved.\nred rose\nAll rights reserve."), (105, "red rose\nAll rights reserved.\n a  b\tc"), (106, " a  b\tc\n")]
 
 
 def test_links_and_removals(spark, tmp_path):
@@ -63,6 +68,21 @@ def test_links_and_removals(spark, tmp_path):
     assert Counter(map(tuple, Q.op2_line_dedup(spark, str(tmp_path)).collect())) == Counter(by_hand(docs))
 
 
+def test_common_lines_and_clashing_columns(spark, tmp_path, monkeypatch):
+    from quiltgraph.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "COMMON", 3)
+    docs = planted() + [(200 + k, "one line that is in very many documents\n" * 2 + "an own line of a document: " + 9 * chr(97 + k % 10) + 9 * chr(110 + k // 10)) for k in range(30)]
+    rows = [(d, t, 1, 2, "x", "y") for d, t in docs]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h1 int, n int, `row` string, first string")
+    want = Counter(by_hand(docs))
+    assert Counter(map(tuple, line_dedup.line_report(df).collect())) == want
+    out = line_dedup.deduplicated(df)
+    assert out.columns == df.columns and out.filter("doc_id = 229").first().text == "an own line of a document: jjjjjjjjjppppppppp"
+    monkeypatch.setattr(line_dedup, "BROADCAST_IDS", 0)
+    assert Counter(map(tuple, line_dedup.line_report(df).collect())) == want
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
