@@ -23,11 +23,16 @@ unless it has no other; an empty table gives no rows.
 Two bits are near identity, so ``kept_documents`` (the pipeline's stage) takes near copies by Jaccard
 similarity of 5-word shingle sets instead, 0.8 or more, complete: under any one order of all shingles,
 two sets that similar share one of the first floor(n / 5) + 1 of each, so those prefixes are the keys
-under which documents meet; sizes and places under a key rule out most pairs before sets are read.
-Fingerprints can't fetch these pairs: at 0.8 they differ in 10 of 64 bits on average, and up to 17 were seen. The order puts frequent shingles last. A key that more than HOT sets
-have is not paired out: its sets are held against a few of them (pivots), what is similar to a pivot
-leaves the key, and only pairs that the triangle inequality of Jaccard distance allows are tried
-between what leaves and what else the key has. Sets are of 64-bit hashes; equal sets are one.
+under which documents meet. Fingerprints can't fetch these pairs: at 0.8 they differ in 10 of 64 bits
+on average, and up to 17 were seen. The order puts frequent shingles last. Bounds that lose no pair come
+before any set is read: sizes; places under the first shared key; and parity sketches, in which every
+shingle of the symmetric difference flips one bit, so that differing bits bound it from below. Sets
+are made again from the texts of the few documents that are left, not stored.
+
+A key that more than HOT_SETS sets have is not paired out: sets whose place allows no partner leave it; the
+others are held against a few of them (pivots), what is similar to a pivot leaves the key, and only
+pairs that the triangle inequality of Jaccard distance allows are tried between what leaves and what
+else the key has. Sets are of 64-bit hashes; equal sets are one.
 """
 
 from __future__ import annotations
@@ -45,9 +50,9 @@ COPY_SHINGLE, TENTHS = 5, 8
 #: The second segment's bits, and what marks keys of its table.
 SECOND, TABLE = (1 << 32) - 1, 1 << 32
 #: Buckets of more fingerprints are split, keys of more sets are taken by pivots; so many pivots a key and round.
-HOT, PIVOTS = 64, 16
+HOT, HOT_SETS, PIVOTS = 64, 160, 16
 #: Frequent shingles (of one set in SHARE) that are put last in the order, and ids that are broadcast, at most.
-FREQUENT, SHARE, BROADCAST_IDS = 100_000, 8, 200_000
+FREQUENT, SHARE, BROADCAST_IDS = 100_000, 16, 200_000
 
 
 def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
@@ -176,54 +181,115 @@ def _represented(marked: DataFrame, linked) -> DataFrame:
     return marked.join(named, F.col("fp") == F.col("n_fp"), "left").select("doc_id", "text_hash", "fp", F.col("low.doc_id").alias("component_id"), stays.alias("stays"))
 
 
+def _set(text: str | None, width: int, seed: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width, seed).view(np.int64))
+
+
+def _name(x: np.ndarray, seed: int) -> int:
+    h = xxhash.xxh64_intdigest(x.tobytes(), seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def parity_sketch(x: np.ndarray) -> np.ndarray:
+    """Longs of bits: whether an odd number of hashes has the bit's place as low bits; two bits or more a hash."""
+    words = 8
+    while words * 32 < len(x):
+        words *= 2
+    odd = np.bincount((x.view(np.uint64) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, width: int = COPY_SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, text_hash, fp (a hash of the set) and shingles (distinct hashes in order) of each document."""
+    """fp (a hash of the set) and shingles (distinct hashes in order) of each text."""
     shipped(docs.sparkSession)
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                sets = [np.unique(shingle_hashes(t.as_py(), width, seed).view(np.int64)) for t in b.column(2)]
-                fp = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), seed) for x in sets), np.uint64, len(sets)).view(np.int64)
+                sets = [_set(t.as_py(), width, seed) for t in b.column(0)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), held], names=["doc_id", "text_hash", "fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_name(x, seed) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["fp", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "fp long, shingles array<long>")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, shingles array<long>")
 
+def frequent_shingles(docs: DataFrame, width: int, hot: int) -> np.ndarray:
+    """Ids of shingles that come last in the order. The order is only a matter of speed, so a share of the texts tells."""
+    part = shingle_sets(docs.filter(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0), width).select(F.explode("shingles").alias("key"))
+    often = part.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * SHARE > hot // 3).orderBy(F.col("n").desc(), "key").limit(FREQUENT).collect()
+    return np.array(sorted(r.key for r in often), np.int64)
 
-def _prefixes(sets: DataFrame, tenths: int, last: np.ndarray) -> DataFrame:
-    """(key, fp, n, at): of each set those shingles of which similar sets share one, with the set's size and
-    the shingle's place from 0; the ordered ids ``last`` come last."""
+
+def signatures(docs: DataFrame, last: np.ndarray, width: int = COPY_SHINGLE, tenths: int = TENTHS, seed: int = SEED) -> DataFrame:
+    """doc_id, text_hash, fp, n, sketch and prefix (the shingles of which similar sets share one; ``last`` come last)."""
+    shipped(docs.sparkSession)
+
+    def row(text):
+        x = _set(text, width, seed)
+        order = x
+        if len(last) and len(x):
+            late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
+            order = np.concatenate([x[~late], x[late]])
+        return _name(x, seed), len(x), parity_sketch(x), order[: len(x) - -(-tenths * len(x) // 10) + 1]
 
     def run(batches):
-        for b in batches:
-            for fp, x in zip(b.column(0), b.column(1), strict=True):
-                x = x.values.to_numpy()
-                n = len(x) - -(-tenths * len(x) // 10) + 1
-                if len(last) and len(x):
-                    late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
-                    x = np.concatenate([x[~late], x[late]])
-                size, x = len(x), x[:n]
-                cols = [x, np.full(len(x), fp.as_py(), np.int64), np.full(len(x), size, np.int32), np.arange(len(x), dtype=np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "fp", "n", "at"])
-
-    return sets.select("fp", "shingles").mapInArrow(run, "key long, fp long, n int, at int")
-
-
-def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, same, whole): sizes of the intersection and the union of pairs of sets; a written table."""
-    pairs = written(pairs)
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-    few = sets.select("fp", "shingles").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "fp", "left_semi")
-    few = written(few.groupBy("fp").agg(F.first("shingles").alias("shingles")))
-    x = few.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
-    y = few.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-    size = F.least(F.size("x"), F.size("y")) * 10 >= F.greatest(F.size("x"), F.size("y"))
-    same = F.when(size, F.size(F.array_intersect("x", "y"))).otherwise(0)  # no use below a tenth
-    return written(pairs.join(x, "a").join(y, "b").select("a", "b", same.alias("same"), (F.size("x") + F.size("y")).alias("both")).select("a", "b", "same", (F.col("both") - F.col("same")).alias("whole")))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                fp, n, sketch, prefix = zip(*(row(t.as_py()) for t in b.column(2)), strict=True)
+                lists = [pa.array(c, pa.list_(pa.int64())) for c in (sketch, prefix)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), *lists], names=["doc_id", "text_hash", "fp", "n", "sketch", "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, n int, sketch array<long>, prefix array<long>")
+
+
+def _within_ids(big: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Left semi join that broadcasts ``ids`` (a written table of one column) only up to BROADCAST_IDS rows."""
+    return big.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
+
+
+class Similarity:
+    """Similarities of pairs of sets, from sketches and, where those can't rule a pair out, from the texts."""
+
+    def __init__(self, docs: DataFrame, signed: DataFrame, width: int, tenths: int):
+        self.docs, self.width, self.tenths = docs, width, tenths
+        self.signed = signed.select("fp", "text_hash", "n", "sketch")
+
+    def _of(self, pairs: DataFrame, cols: list[str]) -> DataFrame:
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+        return _within_ids(self.signed, ids, "fp").groupBy("fp").agg(*[F.first(c).alias(c) for c in cols])
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, same, whole): no pair has a larger intersection and a smaller union; a written table."""
+        pairs = written(pairs)
+        d = written(self._of(pairs, ["n", "sketch"]))
+        x, y = (d.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
+        both = pairs.join(x, "a").join(y, "b").withColumn("w", F.least(F.size("s_a"), F.size("s_b")))
+        bits = "aggregate(sequence(0, w - 1), 0, (t, i) -> t + bit_count({0} ^ {1}))".format(*(f"if(size(s_{k}) > w, s_{k}[i] ^ s_{k}[i + w], s_{k}[i])" for k in "ab"))
+        fits = F.greatest(F.size("s_a"), F.size("s_b")) <= 2 * F.col("w")
+        most = F.least("n_a", "n_b", F.when(fits, F.floor((F.col("n_a") + F.col("n_b") - F.expr(bits)) / 2)).otherwise(F.col("n_a"))).cast("int")
+        return written(both.select("a", "b", most.alias("same"), (F.col("n_a") + F.col("n_b") - most).alias("whole")))
+
+    def good(self, same: str = "same", whole: str = "whole"):
+        return F.col(same) * 10 >= F.col(whole) * self.tenths
+
+    def exact(self, bounded: DataFrame) -> DataFrame:
+        """``bounded`` with the true same and whole of the pairs that may be similar, and known: whether they are true; a written table."""
+        pairs = written(bounded.filter(self.good()).select("a", "b"))
+        texts = written(self._of(pairs, ["text_hash"]).select("text_hash").distinct())
+        docs = _within_ids(self.docs.select("text", F.xxhash64("text").alias("text_hash")), texts, "text_hash").groupBy("text_hash").agg(F.min("text").alias("text"))
+        sets = written(shingle_sets(docs, self.width))
+        x, y = (sets.select(F.col("fp").alias(k), F.col("shingles").alias(f"x_{k}")) for k in "ab")
+        same = F.size(F.array_intersect("x_a", "x_b"))
+        true = pairs.join(x, "a").join(y, "b").select("a", "b", same.alias("t_same"), (F.size("x_a") + F.size("x_b") - same).alias("t_whole"))
+        out = bounded.join(true, ["a", "b"], "left")
+        return written(out.select("a", "b", F.coalesce("t_same", "same").alias("same"), F.coalesce("t_whole", "whole").alias("whole")))
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs that are similar."""
+        return self.exact(self.bounded(pairs).filter(self.good())).filter(self.good()).select("a", "b")
 
 
 def _all_pairs(keys: DataFrame, tenths: int) -> DataFrame:
@@ -233,55 +299,63 @@ def _all_pairs(keys: DataFrame, tenths: int) -> DataFrame:
     return met.filter((10 + tenths) * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) >= tenths * (F.col("n") + F.col("m"))).select("a", "b").distinct()
 
 
-def similar_sets(sets: DataFrame, tenths: int = TENTHS, hot: int = HOT, pivots: int = PIVOTS) -> DataFrame:
-    """(a, b), a < b: links that connect all sets of Jaccard similarity tenths / 10 or more."""
+def _several(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("key", "sets")
+
+
+def similar_sets(docs: DataFrame, signed: DataFrame, width: int = COPY_SHINGLE, tenths: int = TENTHS, hot: int = HOT_SETS, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b), a < b: links that connect all sets of Jaccard similarity tenths / 10 or more.
+
+    signed: a written table of signatures, one row or more a set.
+    """
     if not 5 < tenths <= 10:
         raise ValueError("similarity must be over 0.5")
-    shipped(sets.sparkSession)
-    several = lambda k: k.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("key", "sets")
-    # which shingles come last is only a matter of speed, so a share of the sets is enough to tell
-    part = sets.filter(F.pmod("fp", F.lit(SHARE)) == 0).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    often = part.filter(F.col("n") * SHARE > hot).orderBy(F.col("n").desc(), "key").limit(FREQUENT).collect()
-    keys = _prefixes(sets, tenths, np.array(sorted(r.key for r in often), np.int64))
-    sizes = written(several(keys))
-    keys = written(keys.join(sizes, "key").distinct())
-    cold = keys.filter(F.col("sets") <= hot)
-    rest = written(keys.filter(F.col("sets") > hot).select("key", "fp", "n", "at"))
-    good = F.col("same") * 10 >= F.col("whole") * tenths
-    found = [_similarities(_all_pairs(cold, tenths), sets).filter(good).select("a", "b")]
-    # a far set is linked to nothing that a pivot takes: distances 1 - s/w add up
-    far = 2 * tenths - 10
+    sim = Similarity(docs, signed, width, tenths)
+    keys = signed.select("fp", "n", F.posexplode("prefix").alias("at", "key"))
+    sizes = written(_several(keys))
+    keys = written(keys.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "key").distinct())
+    found = [sim.similar(_all_pairs(keys.filter(F.col("sets") <= hot), tenths))]
+    # the places at_a and at_b of a pair's first shared key allow (10 + t)(at_a + at_b) <= (10 - t)(n_a + n_b) only
+    slack = (10 + tenths) * F.col("at") - (10 - tenths) * F.col("n")
+    rest = written(keys.filter(F.col("sets") > hot).select("key", "fp", "n", "at", slack.alias("s")))
+    far = 2 * tenths - 10  # a set farther from a pivot is linked to nothing that the pivot takes: distances add up
     while not rest.isEmpty():
-        at = F.row_number().over(Window.partitionBy("key").orderBy("fp"))
-        chosen = written(rest.withColumn("r", at).filter(F.col("r") <= pivots).select("key", F.col("fp").alias("p")))
+        least = written(rest.groupBy("key").agg(F.min(F.struct("s", "fp")).alias("least")))
+        rest = written(rest.join(least, "key").filter((F.col("s") + F.col("least.s") <= 0) | (F.col("fp") == F.col("least.fp"))).drop("least"))
+        left = written(_several(rest))
+        few = rest.join(left.filter(F.col("sets") <= hot).select("key"), "key", "left_semi")
+        found.append(sim.similar(_all_pairs(few, tenths)))
+        rest = written(rest.join(left.filter(F.col("sets") > hot).select("key"), "key", "left_semi"))
+        if rest.isEmpty():
+            break
+        order = F.row_number().over(Window.partitionBy("key").orderBy("s", "fp"))
+        chosen = written(rest.withColumn("r", order).filter(F.col("r") <= pivots).select("key", F.col("fp").alias("p")))
         tried = rest.join(chosen, "key").filter("fp <> p").select(F.col("p").alias("a"), F.col("fp").alias("b")).distinct()
-        s = _similarities(tried, sets)
-        found.append(s.filter(good).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        held = rest.join(chosen.select("key", F.col("p").alias("fp"), F.lit(True).alias("pivot")), ["key", "fp"], "left")
+        s = sim.exact(sim.bounded(tried))
+        link = written(s.filter(sim.good()).select("a", "b", (F.col("same") / F.col("whole")).alias("near")))
+        found.append(link.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         # what a pivot takes leaves only the keys that they share
-        mine = rest.join(chosen, "key").join(s.filter(good).select(F.col("a").alias("p"), F.col("b").alias("fp"), (F.col("same") / F.col("whole")).alias("near")), ["p", "fp"])
-        mine = written(mine.groupBy("key", "fp").agg(F.min(F.struct("p", "near")).alias("t")))
-        stay = written(held.filter("pivot is null").join(mine.select("key", "fp"), ["key", "fp"], "left_anti").select("key", "fp", "n", "at"))
-        edge = s.filter((F.col("same") * 10 < F.col("whole") * tenths) & (F.col("same") * 10 >= F.col("whole") * far)).select(F.col("a").alias("p"), F.col("b").alias("y"), (F.col("same") / F.col("whole")).alias("off"))
-        link = s.filter(good).select("a", "b")
+        mine = rest.join(chosen, "key").join(link.select(F.col("a").alias("p"), F.col("b").alias("fp"), "near"), ["p", "fp"])
+        mine = written(mine.groupBy("key", "fp").agg(F.min(F.struct("p", "near")).alias("t"), F.first("n").alias("n"), F.first("s").alias("s")))
+        gone = mine.select("key", "fp").unionByName(chosen.select("key", F.col("p").alias("fp"))).distinct()
+        edge = s.filter(~sim.good() & (F.col("same") * 10 >= F.col("whole") * far)).select(F.col("a").alias("p"), F.col("b").alias("y"), (F.col("same") / F.col("whole")).alias("off"))
         tied = link.select(F.col("a").alias("p"), F.col("b").alias("m")).join(link.select(F.col("a").alias("m"), F.col("b").alias("y")), "m").select("p", "y").distinct()
-        edge = rest.select("key", F.col("fp").alias("y")).join(chosen, "key").join(edge.join(tied, ["p", "y"], "left_anti"), ["p", "y"]).select("key", "p", "y", "off")
-        cross = mine.select("key", F.col("fp").alias("x"), "t.p", "t.near").join(edge, ["key", "p"]).filter((F.col("x") != F.col("y")) & (F.col("near") - F.col("off") <= 1 - tenths / 10 + 1e-9))
-        cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found.append(_similarities(cross, sets).filter(good).select("a", "b"))
-        left = written(several(stay))
-        found.append(_similarities(_all_pairs(stay.join(left.filter(F.col("sets") <= hot).select("key"), "key", "left_semi"), tenths), sets).filter(good).select("a", "b"))
-        rest = written(stay.join(left.filter(F.col("sets") > hot).select("key"), "key", "left_semi"))
+        edge = rest.select("key", F.col("fp").alias("y"), F.col("n").alias("n_y"), F.col("s").alias("s_y")).join(chosen, "key").join(edge.join(tied, ["p", "y"], "left_anti"), ["p", "y"])
+        cross = mine.select("key", F.col("fp").alias("x"), "t.p", "t.near", "n", "s").join(edge, ["key", "p"])
+        like = 10 * F.least("n", "n_y") >= tenths * F.greatest("n", "n_y")
+        cross = cross.filter((F.col("x") != F.col("y")) & (F.col("near") - F.col("off") <= 1 - tenths / 10 + 1e-9) & (F.col("s") + F.col("s_y") <= 0) & like)
+        found.append(sim.similar(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+        rest = written(rest.join(gone, ["key", "fp"], "left_anti"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out.distinct()
 
 
-def near_copies(docs: DataFrame, width: int = COPY_SHINGLE, tenths: int = TENTHS) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = COPY_SHINGLE, tenths: int = TENTHS, hot: int = HOT_SETS, pivots: int = PIVOTS) -> DataFrame:
     """As ``near_duplicates``, linked by Jaccard similarity of shingle sets; fp is the set's hash."""
-    sets = written(shingle_sets(docs, width))
-    return _represented(sets.select("doc_id", "text_hash", "fp"), lambda _: similar_sets(sets, tenths))
+    signed = written(signatures(docs, frequent_shingles(docs, width, hot), width, tenths))
+    return _represented(signed.select("doc_id", "text_hash", "fp"), lambda _: similar_sets(docs, signed, width, tenths, hot, pivots))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

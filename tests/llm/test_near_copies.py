@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as C
+from pyspark.sql import functions as F
 
 from quiltgraph.llm import simhash
 
@@ -48,12 +49,41 @@ def test_stage_keeps_one_of_near_copies(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = by_hand(docs)
     assert {r.doc_id for r in C.near_duplicates(spark, df, "").collect()} == set(want.values())
-    sets = simhash.shingle_sets(df).cache()
-    name = {r.doc_id: r.fp for r in sets.collect()}
-    for hot, pivots in ((16, 5),):
-        found = simhash.components(simhash.similar_sets(sets, hot=hot, pivots=pivots)).collect()
-        root = {r.node: r.root for r in found}
+    for hot, pivots in ((16, 5), (4, 1)):
         got = {}
-        for i, _ in docs:
-            got.setdefault(root.get(name[i], name[i]), set()).add(i)
-        assert {min(x): x for x in got.values()} == {k: {i for i in want if want[i] == k} for k in set(want.values())}
+        for r in simhash.near_copies(df, hot=hot, pivots=pivots).collect():
+            got.setdefault(r.component_id, set()).add(r.doc_id)
+        assert got == {k: {i for i in want if want[i] == k} for k in set(want.values())}
+
+
+def test_sketches_bound_similarity(spark):
+    """No pair's bound is below its true similarity, at any sizes; disjoint sets are ruled out."""
+    docs = [(i, t) for i, t in planted() if t and len(t.split()) > 5]
+    docs += [(1000 + k, " ".join(f"w{(7 * k + j) % 5003}" for j in range(300 + 90 * k))) for k in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    signed = simhash.signatures(df, simhash.np.zeros(0, simhash.np.int64)).cache()
+    fps = signed.select("fp").distinct()
+    pairs = fps.select(F.col("fp").alias("a")).join(fps.select(F.col("fp").alias("b")), F.col("a") < F.col("b"))
+    sim = simhash.Similarity(df, signed, 5, 8)
+    bounds = {(r.a, r.b): r for r in sim.bounded(pairs).collect()}
+    sets = {r.fp: set(r.shingles) for r in simhash.shingle_sets(df).collect()}
+    out = 0
+    for (a, b), r in bounds.items():
+        same = len(sets[a] & sets[b])
+        assert r.same >= same and r.same + r.whole == len(sets[a]) + len(sets[b])
+        out += same == 0 and r.same * 10 < r.whole * 8
+    assert out > 0.9 * sum(not sets[a] & sets[b] for a, b in bounds)
+
+
+def test_a_group_around_a_passage(spark, monkeypatch):
+    """Documents of one shared passage and own texts of many lengths: links through a hot key."""
+    random.seed(9)
+    monkeypatch.setattr(simhash, "SHARE", 1)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    passage = " ".join(word() for _ in range(200))
+    docs = [(k, passage + " " + " ".join(word() for _ in range(random.randint(0, 60)))) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = by_hand(docs)
+    for hot, pivots in ((5, 1), (10, 2)):
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(df, hot=hot, pivots=pivots).collect()}
+        assert got == want
