@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,11 +51,61 @@ def shipped(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+#: Removes a query's shuffle files when the query has ended, not when the driver's memory is next cleared.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_recorded: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    for paths in _recorded:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def _removed(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once nothing that is still to run reads them."""
+    for t in tables:
+        _removed(t.sparkSession, [t._table_path])
+
+
+@contextmanager
+def recorded(paths: list[str]):
+    """Adds the paths of tables that are written inside to ``paths``."""
+    _recorded.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorded.remove(paths)
+
+
+def dropped_unread(df: DataFrame, paths: list[str]) -> None:
+    """Deletes the tables at ``paths`` that the plan of ``df`` doesn't read; the others stay listed."""
+    read = ""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            read += leaf.relation().location().rootPaths().mkString(" ") + " "
+    gone = [p for p in paths if p.rsplit("/", 1)[-1] not in read]
+    _removed(df.sparkSession, gone)
+    paths[:] = [p for p in paths if p not in gone]
 
 
 def joined_small(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], salt: int = 32) -> DataFrame:

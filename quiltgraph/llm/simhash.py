@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shipped, written
+from .common import dropped, shipped, written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 COPY_SHINGLE, TENTHS = 5, 8
@@ -259,18 +259,22 @@ class Similarity:
 
     def _of(self, pairs: DataFrame, cols: list[str]) -> DataFrame:
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-        return _within_ids(self.signed, ids, "fp").groupBy("fp").agg(*[F.first(c).alias(c) for c in cols])
+        out = written(_within_ids(self.signed, ids, "fp").groupBy("fp").agg(*[F.first(c).alias(c) for c in cols]))
+        dropped(ids)
+        return out
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """(a, b, same, whole): no pair has a larger intersection and a smaller union; a written table."""
         pairs = written(pairs)
-        d = written(self._of(pairs, ["n", "sketch"]))
+        d = self._of(pairs, ["n", "sketch"])
         x, y = (d.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
         both = pairs.join(x, "a").join(y, "b").withColumn("w", F.least(F.size("s_a"), F.size("s_b")))
         bits = "aggregate(sequence(0, w - 1), 0, (t, i) -> t + bit_count({0} ^ {1}))".format(*(f"if(size(s_{k}) > w, s_{k}[i] ^ s_{k}[i + w], s_{k}[i])" for k in "ab"))
         fits = F.greatest(F.size("s_a"), F.size("s_b")) <= 2 * F.col("w")
         most = F.least("n_a", "n_b", F.when(fits, F.floor((F.col("n_a") + F.col("n_b") - F.expr(bits)) / 2)).otherwise(F.col("n_a"))).cast("int")
-        return written(both.select("a", "b", most.alias("same"), (F.col("n_a") + F.col("n_b") - most).alias("whole")))
+        out = written(both.select("a", "b", most.alias("same"), (F.col("n_a") + F.col("n_b") - most).alias("whole")))
+        dropped(pairs, d)
+        return out
 
     def good(self, same: str = "same", whole: str = "whole"):
         return F.col(same) * 10 >= F.col(whole) * self.tenths
@@ -278,18 +282,24 @@ class Similarity:
     def exact(self, bounded: DataFrame) -> DataFrame:
         """``bounded`` with the true same and whole of the pairs that may be similar, and known: whether they are true; a written table."""
         pairs = written(bounded.filter(self.good()).select("a", "b"))
-        texts = written(self._of(pairs, ["text_hash"]).select("text_hash").distinct())
+        held = self._of(pairs, ["text_hash"])
+        texts = written(held.select("text_hash").distinct())
         docs = _within_ids(self.docs.select("text", F.xxhash64("text").alias("text_hash")), texts, "text_hash").groupBy("text_hash").agg(F.min("text").alias("text"))
         sets = written(shingle_sets(docs, self.width))
         x, y = (sets.select(F.col("fp").alias(k), F.col("shingles").alias(f"x_{k}")) for k in "ab")
         same = F.size(F.array_intersect("x_a", "x_b"))
         true = pairs.join(x, "a").join(y, "b").select("a", "b", same.alias("t_same"), (F.size("x_a") + F.size("x_b") - same).alias("t_whole"))
         out = bounded.join(true, ["a", "b"], "left")
-        return written(out.select("a", "b", F.coalesce("t_same", "same").alias("same"), F.coalesce("t_whole", "whole").alias("whole")))
+        out = written(out.select("a", "b", F.coalesce("t_same", "same").alias("same"), F.coalesce("t_whole", "whole").alias("whole")))
+        dropped(pairs, held, texts, sets)
+        return out
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs that are similar."""
-        return self.exact(self.bounded(pairs).filter(self.good())).filter(self.good()).select("a", "b")
+        bounded = self.bounded(pairs)
+        out = self.exact(bounded.filter(self.good()))
+        dropped(bounded)
+        return out.filter(self.good()).select("a", "b")
 
 
 def _all_pairs(keys: DataFrame, tenths: int) -> DataFrame:
@@ -318,6 +328,7 @@ def similar_sets(docs: DataFrame, signed: DataFrame, width: int = COPY_SHINGLE,
     # the places at_a and at_b of a pair's first shared key allow (10 + t)(at_a + at_b) <= (10 - t)(n_a + n_b) only
     slack = (10 + tenths) * F.col("at") - (10 - tenths) * F.col("n")
     rest = written(keys.filter(F.col("sets") > hot).select("key", "fp", "n", "at", slack.alias("s")))
+    dropped(keys, sizes)
     far = 2 * tenths - 10  # a set farther from a pivot is linked to nothing that the pivot takes: distances add up
     while not rest.isEmpty():
         least = written(rest.groupBy("key").agg(F.min(F.struct("s", "fp")).alias("least")))
