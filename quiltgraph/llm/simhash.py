@@ -50,7 +50,7 @@ COPY_SHINGLE, TENTHS = 5, 8
 #: The second segment's bits, and what marks keys of its table.
 SECOND, TABLE = (1 << 32) - 1, 1 << 32
 #: Buckets of more fingerprints are split, keys of more sets are taken by pivots; so many pivots a key and round.
-HOT, HOT_SETS, PIVOTS = 64, 160, 16
+HOT, HOT_SETS, PIVOTS = 64, 160, 4
 #: Frequent shingles (of one set in SHARE) that are put last in the order, and ids that are broadcast, at most.
 FREQUENT, SHARE, BROADCAST_IDS = 100_000, 16, 200_000
 
@@ -263,19 +263,44 @@ class Similarity:
         dropped(ids)
         return out
 
+    @staticmethod
+    def most_shared(a: str = "a", b: str = "b"):
+        """An upper bound of the intersection, from columns n_a, s_a (sketch) and n_b, s_b."""
+        x, y = f"s_{a}", f"s_{b}"
+        w = f"least(size({x}), size({y}))"
+        bits = f"aggregate(sequence(0, {w} - 1), 0, (t, i) -> t + bit_count({{}} ^ {{}}))".format(*(f"if(size({k}) > {w}, {k}[i] ^ {k}[i + {w}], {k}[i])" for k in (x, y)))
+        fits = F.expr(f"greatest(size({x}), size({y})) <= 2 * {w}")
+        n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
+        return F.least(n, m, F.when(fits, F.floor((n + m - F.expr(bits)) / 2)).otherwise(n)).cast("int")
+
+    def sketches(self, d: DataFrame, k: str) -> DataFrame:
+        return d.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """(a, b, same, whole): no pair has a larger intersection and a smaller union; a written table."""
         pairs = written(pairs)
         d = self._of(pairs, ["n", "sketch"])
-        x, y = (d.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
-        both = pairs.join(x, "a").join(y, "b").withColumn("w", F.least(F.size("s_a"), F.size("s_b")))
-        bits = "aggregate(sequence(0, w - 1), 0, (t, i) -> t + bit_count({0} ^ {1}))".format(*(f"if(size(s_{k}) > w, s_{k}[i] ^ s_{k}[i + w], s_{k}[i])" for k in "ab"))
-        fits = F.greatest(F.size("s_a"), F.size("s_b")) <= 2 * F.col("w")
-        most = F.least("n_a", "n_b", F.when(fits, F.floor((F.col("n_a") + F.col("n_b") - F.expr(bits)) / 2)).otherwise(F.col("n_a"))).cast("int")
-        out = written(both.select("a", "b", most.alias("same"), (F.col("n_a") + F.col("n_b") - most).alias("whole")))
+        both = pairs.join(self.sketches(d, "a"), "a").join(self.sketches(d, "b"), "b").select("a", "b", "n_a", "n_b", self.most_shared().alias("same"))
+        out = written(both.select("a", "b", "same", (F.col("n_a") + F.col("n_b") - F.col("same")).alias("whole")))
         dropped(pairs, d)
         return out
 
+    def across(self, taken: DataFrame, edge: DataFrame, salt: int = 8) -> DataFrame:
+        """(a, b) that may be similar of taken (p, a, near, s) and edge (p, b, off, s), by the distances to their pivot,
+        places, sizes and sketches, all of them conditions of the join: pairs that can't be are not made."""
+        taken, edge = written(taken), written(edge)
+        ids = written(taken.select(F.col("a").alias("fp")).unionByName(edge.select(F.col("b").alias("fp"))).distinct())
+        d = written(_within_ids(self.signed, ids, "fp").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+        x = taken.join(self.sketches(d, "a"), "a").withColumn("part", F.pmod("a", F.lit(salt)))
+        y = edge.join(self.sketches(d, "b"), "b").withColumnRenamed("s", "s2").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))).withColumnRenamed("p", "p2").withColumnRenamed("part", "part2")
+        same, n, m = self.most_shared(), F.col("n_a"), F.col("n_b")
+        cond = (F.col("p") == F.col("p2")) & (F.col("part") == F.col("part2")) & (F.col("a") != F.col("b"))
+        cond &= (F.col("near") - F.col("off") <= 1 - self.tenths / 10 + 1e-9) & (F.col("s") + F.col("s2") <= 0)
+        cond &= (10 * F.least(n, m) >= self.tenths * F.greatest(n, m)) & (same * 10 >= (n + m - same) * self.tenths)
+        out = written(x.join(y, cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), n.alias("n"), m.alias("m"), same.alias("same")).groupBy("a", "b").agg(F.first("same").alias("same"), F.first(F.col("n") + F.col("m") - F.col("same")).alias("whole")))
+        dropped(taken, edge, ids, d)
+        return out
+
     def good(self, same: str = "same", whole: str = "whole"):
         return F.col(same) * 10 >= F.col(whole) * self.tenths
 
@@ -347,15 +372,15 @@ def similar_sets(docs: DataFrame, signed: DataFrame, width: int = COPY_SHINGLE,
         found.append(link.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         # what a pivot takes leaves only the keys that they share
         mine = rest.join(chosen, "key").join(link.select(F.col("a").alias("p"), F.col("b").alias("fp"), "near"), ["p", "fp"])
-        mine = written(mine.groupBy("key", "fp").agg(F.min(F.struct("p", "near")).alias("t"), F.first("n").alias("n"), F.first("s").alias("s")))
+        mine = written(mine.groupBy("key", "fp").agg(F.min(F.struct("p", "near")).alias("t"), F.first("s").alias("s")))
         gone = mine.select("key", "fp").unionByName(chosen.select("key", F.col("p").alias("fp"))).distinct()
         edge = s.filter(~sim.good() & (F.col("same") * 10 >= F.col("whole") * far)).select(F.col("a").alias("p"), F.col("b").alias("y"), (F.col("same") / F.col("whole")).alias("off"))
         tied = link.select(F.col("a").alias("p"), F.col("b").alias("m")).join(link.select(F.col("a").alias("m"), F.col("b").alias("y")), "m").select("p", "y").distinct()
-        edge = rest.select("key", F.col("fp").alias("y"), F.col("n").alias("n_y"), F.col("s").alias("s_y")).join(chosen, "key").join(edge.join(tied, ["p", "y"], "left_anti"), ["p", "y"])
-        cross = mine.select("key", F.col("fp").alias("x"), "t.p", "t.near", "n", "s").join(edge, ["key", "p"])
-        like = 10 * F.least("n", "n_y") >= tenths * F.greatest("n", "n_y")
-        cross = cross.filter((F.col("x") != F.col("y")) & (F.col("near") - F.col("off") <= 1 - tenths / 10 + 1e-9) & (F.col("s") + F.col("s_y") <= 0) & like)
-        found.append(sim.similar(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+        edge = rest.select("key", F.col("fp").alias("y"), "s").join(chosen, "key").join(edge.join(tied, ["p", "y"], "left_anti"), ["p", "y"])
+        # pairs of one pivot are looked at once for all keys, with the places that allow most
+        edge = edge.groupBy("p", F.col("y").alias("b")).agg(F.first("off").alias("off"), F.min("s").alias("s"))
+        taken = mine.groupBy(F.col("t.p").alias("p"), F.col("fp").alias("a")).agg(F.first("t.near").alias("near"), F.min("s").alias("s"))
+        found.append(sim.exact(sim.across(taken, edge)).filter(sim.good()).select("a", "b"))
         rest = written(rest.join(gone, ["key", "fp"], "left_anti"))
     out = found[0]
     for f in found[1:]:
