@@ -2,20 +2,22 @@
 
 Texts are cut by the vectorised scan of ``pretokens``; each distinct piece is merged once per worker
 (by lowest rank, leftmost first) and kept in a cache of bounded size; a text's ids are its pieces'
-ids in order. Token byte offsets are kept, and decoding joins the ids' bytes.
+ids in order. Token byte offsets are kept, and decoding puts each id's bytes at its offset: ids and
+offsets that don't belong together raise an error.
 
 Defined results: null text encodes as the empty text; empty texts have no ids; repeated rows each
-give a row; other columns pass through in ``encode`` (its own two columns replace any of that name).
+give a row; very long texts are one row; of pairs of equal rank the leftmost merges first; an empty table
+gives no rows; other columns pass through (an operator's own columns replace any of their name).
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import heapq
-from itertools import accumulate, chain
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,7 +105,7 @@ class Codec(dict):
         self.bytes_of: list[bytes] = [b""] * size
         for token, i in self.rank.items():
             self.bytes_of[i] = token
-        self.text_of = list(map(str, range(size)))
+        self.sizes = np.array(list(map(len, self.bytes_of)), np.int32)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.old.get(piece)
@@ -119,11 +121,15 @@ class Codec(dict):
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [list(chain.from_iterable(map(self.__getitem__, p))) for p in pretokens.pieces(texts)]
 
-    def offsets(self, ids: list[int]) -> list[int]:
+    def offsets(self, ids: list[int]) -> np.ndarray:
         """Byte offset of each token's start in the encoded text."""
-        return list(accumulate((len(self.bytes_of[i]) for i in ids[:-1]), initial=0)) if ids else []
+        ends = np.cumsum(self.sizes[ids], dtype=np.int32)
+        return np.concatenate([np.zeros(1, np.int32), ends[:-1]]) if len(ids) else ends
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[int], offsets: np.ndarray | None = None) -> bytes:
+        """The text's bytes: each token's at its offset, which must be where the token before ends."""
+        if offsets is not None and not np.array_equal(self.offsets(ids), offsets):
+            raise ValueError("the offsets are not those of the ids")
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
@@ -157,39 +163,35 @@ def encode(docs: DataFrame, path: str | None = None, offsets: bool = True) -> Da
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Rows with ids -> the same rows with ``decoded`` (binary)."""
+    """Rows with ids, and offsets where they are kept -> the same rows with ``decoded`` (binary)."""
     shipped(encoded.sparkSession)
     path = path or vocabulary_path()
     encoded = encoded.drop("decoded")
     at, names = encoded.columns.index("ids"), encoded.columns
+    offsets_at = names.index("offsets") if "offsets" in names else None
+
+    def lists(c):
+        flat, ends = c.flatten().to_numpy(zero_copy_only=False), c.offsets.to_numpy()
+        return np.split(flat, (ends - ends[0])[1:-1])
 
     def run(batches):
         c = codec(path)
         for batch in batches:
-            out = [c.decode(x or []) for x in batch.column(at).to_pylist()]
+            ids = [x or [] for x in batch.column(at).to_pylist()]
+            offsets = lists(batch.column(offsets_at)) if offsets_at is not None and ids else [None] * len(ids)
+            out = [c.decode(x, o) for x, o in zip(ids, offsets, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes: encodes and decodes in one pass."""
-    shipped(docs.sparkSession)
-    path = path or vocabulary_path()
-
-    def run(batches):
-        c = codec(path)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
-            n, a, b, size = [], [], [], []
-            for group in pretokens.groups(x or "" for x in batch.column(1).to_pylist()):
-                for ids in c.encode(group):
-                    raw = c.decode(ids)
-                    n.append(len(ids))
-                    size.append(len(raw))
-                    a.append(sha(" ".join(map(c.text_of.__getitem__, ids)).encode()))
-                    b.append(sha(raw))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(size, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes: encodes with offsets, and decodes by them."""
+    d = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids", "offsets"), path)
+    return d.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.octet_length("decoded").cast("long").alias("n_bytes"),
+    )

@@ -4,8 +4,10 @@ Words are summed per source, targets are water-filled under a repetition cap, an
 emitted floor(rate) times plus once more if a hash-seeded Bernoulli draw falls below the fraction.
 
 Defined results: null text counts 0 words; null sources form one source that sorts last; a source
-without words has target 0 and rate 0; documents with equal doc_id (null included) share one draw;
-an empty table gives an empty mix. Columns besides doc_id, source and text are carried untouched.
+without words has target 0 and rate 0; documents with equal doc_id (null included) share one draw, so
+repeated rows are taken alike; sources whose caps are reached at equal levels follow by name; very long
+texts are only counted; an empty table gives an empty mix. Columns besides doc_id, source and text are
+carried untouched.
 """
 
 from __future__ import annotations

@@ -4,13 +4,16 @@ Small trees are grown on bootstrap samples of the labelled rows; every path from
 a conjunctive rule over the statistics. The rules' weights are a lasso logistic regression, fitted by
 proximal gradient steps, and the rules with a weight are compiled into one Spark column expression.
 
-Labels are learnt from at most MOST_ROWS labelled rows (those of smallest hashed id; a documented
-bound on what comes to the driver), never from held-out ones. Statistics are of whole texts. lang,
-source, doc_id and labels are not inputs.
+Labels are learnt from a bounded sample, never from held-out rows: of the labels, the MOST_ROWS of
+smallest hashed ids, and of the pairs of those labels and texts, the MOST_ROWS of smallest hashed id
+and text (the same, unless ids repeat). That is what comes to the driver. Statistics are of whole texts. lang, source,
+doc_id and labels are not inputs.
 
 Defined results: null texts score as empty ones; documents without a doc_id are not held out; where
-several labels or texts share a doc_id all combinations are learnt from; null labels are left out;
-without any label every score is 0.5.
+several labels or texts share a doc_id each pair of them is a row; null labels are left out; equal hashes
+are taken in order of id, label and text hash; repeated rows score alike; very long texts are one row's
+work; without any label every score is 0.5; an empty document table gives no rows; other columns, of any
+name, aren't read.
 """
 
 from __future__ import annotations
@@ -145,10 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int
     """Learns from labelled rows that aren't held out, ``most`` at most."""
     k = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("l_id"), F.col(target).cast("int").alias("y"))
     k = k.orderBy(F.md5(F.col("l_id").cast("string")), "l_id", "y").limit(most)
-    both = docs.join(F.broadcast(k), docs["doc_id"] == F.col("l_id")).select("text", "doc_id", "y")
+    d = docs.select(F.col("doc_id").alias("d_id"), "text")
+    both = d.join(F.broadcast(k), F.col("d_id") == F.col("l_id")).select("text", F.col("d_id").alias("doc_id"), "y")
     f = features()
-    stats = with_statistics(both, [F.col("doc_id"), F.col("y")])
-    rows = stats.select("doc_id", "y", *[c.alias(n) for n, c in f.items()]).orderBy("doc_id", "y", *f).limit(4 * most).toPandas()
+    stats = with_statistics(both, [F.col("doc_id"), F.col("y"), F.xxhash64("text").alias("text_hash")])
+    rows = stats.select("doc_id", "y", "text_hash", *[c.alias(n) for n, c in f.items()])
+    rows = rows.orderBy(F.xxhash64("doc_id", "text_hash"), "doc_id", "y", "text_hash").limit(most).toPandas()
+    rows = rows.sort_values(["doc_id", "y", "text_hash"], kind="stable")
     return fitted(list(f), rows[list(f)].to_numpy(float), rows["y"].to_numpy(float))
 
 

@@ -11,7 +11,10 @@ identifiers; needs a secret), key (40 characters of base 64, mixed; needs an ide
 (a URL; needs an identifier and a secret).
 
 Defined results: null texts are empty; texts without spans give counts 0, the digest of the empty
-string and empty spans; rows with equal doc_id each give a row; only doc_id and text are read.
+string and empty spans; rows with equal doc_id each give a row; parts that start at one place follow by
+kind; very long texts are one row (the parts of one text meet in one task); an empty table gives no
+rows; only doc_id and text are read. REACH is what a scope's interval is: parts further apart than that
+aren't complementary.
 """
 
 from __future__ import annotations

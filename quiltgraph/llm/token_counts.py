@@ -3,11 +3,16 @@
 Distinct pre-tokens are inserted in a trie. A node carries the best forward score of its prefix
 (best segmentation into vocabulary pieces) and that segmentation's number of tokens, computed once
 for all pre-tokens below it; terminal nodes thus hold the counts. A text's count is the sum over
-its pre-tokens. Scores are integers: a piece of rank r scores -round(2**16 * ln(r + 2)), and a byte
-outside any piece is always there as a single-byte piece, so every pre-token has a segmentation.
-Equal scores go to fewer tokens.
+its pre-tokens.
 
-Defined results: null and empty texts have 0 pre-tokens and 0 tokens; repeated rows each give a row.
+The unigram model is a Zipf-Mandelbrot law over a public vocabulary in order of rank: a piece of rank r
+has probability 1 / ((r + 2) Z), where Z makes all of them sum to 1. Nothing is trained, as tokenizers
+aren't. Scores are log probabilities in integers of 2**-16; every single byte is a piece, so every
+pre-token has a segmentation. Equal scores go to fewer tokens.
+
+Defined results: null and empty texts have 0 pre-tokens and 0 tokens; repeated rows each give a row;
+pre-tokens over LONG bytes, and so very long unbroken texts, are scored on their own, along prefixes of
+pieces; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -34,10 +39,33 @@ TOKEN_BITS = 32
 
 @functools.cache
 def scores(path: str) -> tuple[dict[bytes, int], int]:
-    s = {t: (-round(65536 * math.log(r + 2)) << TOKEN_BITS) - 1 for t, r in ranks(path).items()}
+    whole = math.log(math.fsum(1 / (r + 2) for r in ranks(path).values()))
+    s = {t: (-round(65536 * (math.log(r + 2) + whole)) << TOKEN_BITS) - 1 for t, r in ranks(path).items()}
     return s, max(map(len, s))
 
 
+@functools.cache
+def beginnings(path: str) -> frozenset[bytes]:
+    """All prefixes of pieces."""
+    return frozenset(t[:k] for t in ranks(path) for k in range(1, len(t) + 1))
+
+
+def whole_value(word: bytes, path: str) -> int:
+    """The value of a long pre-token: from each place, pieces are followed as far as any begins so."""
+    score, prefixes = scores(path)[0], beginnings(path)
+    none = -1 << 200
+    values = [0] + [none] * len(word)
+    for i, value in enumerate(values):
+        for j in range(i + 1, len(word) + 1):
+            piece = word[i:j]
+            if piece not in prefixes:
+                break
+            s = score.get(piece)
+            if s is not None and value + s > values[j]:
+                values[j] = value + s
+    return values[-1]
+
+
 def best_value(word: bytes, j: int, values: list[int], score: dict[bytes, int], longest: int) -> int:
     """The value of word[:j] from the values of its shorter prefixes."""
     get = score.get
@@ -48,6 +76,7 @@ class Trie:
     """Nodes are indices; node 0 is the empty prefix. children: (node << 8 | byte) -> node."""
 
     def __init__(self, path: str):
+        self.path = path
         self.score, self.longest = scores(path)
         self.counts: dict[str, int] = {}
         self.old: dict[str, int] = {}
@@ -72,11 +101,9 @@ class Trie:
         return n
 
     def insert(self, word: bytes) -> int:
-        score, longest, path = self.score, self.longest, [0]
         if len(word) > LONG:
-            for j in range(1, len(word) + 1):
-                path.append(best_value(word, j, path, score, longest))
-            return path[-1]
+            return whole_value(word, self.path)
+        score, longest, path = self.score, self.longest, [0]
         if len(self.values) > NODES:
             self.clear()
         node, children, values = 0, self.children, self.values

@@ -75,6 +75,12 @@ def test_byte_bpe_is_tiktoken(spark, odd):
         assert got == want
     back = byte_bpe.decode(byte_bpe.encode(spark.read.parquet(f"{odd[0]}/documents.parquet"))).collect()
     assert all(bytes(r.decoded).decode() == (r.text or "") and len(r.offsets) == len(r.ids) for r in back)
+    c = byte_bpe.codec(byte_bpe.vocabulary_path())
+    for r in back:
+        ends = [*r.offsets[1:], len(r.decoded)]
+        assert all(bytes(r.decoded)[a:b] == c.bytes_of[i] for i, a, b in zip(r.ids, r.offsets, ends, strict=False))
+    with pytest.raises(ValueError):
+        c.decode([5, 6], [0, 9])
 
 
 def test_pieces_are_the_patterns():
@@ -119,6 +125,32 @@ def test_token_counts_against_dynamic_programming(spark):
     assert {k: got[k] for k in want} == want
 
 
+def test_trie_of_long_words_and_small_bounds(monkeypatch):
+    """Resets of the trie, generations of counts and words scored on their own change nothing."""
+    import math
+
+    from quiltgraph.llm import byte_bpe, token_counts
+
+    path = byte_bpe.vocabulary_path()
+    score, _ = token_counts.scores(path)
+    assert abs(math.fsum(math.exp((s >> 32) / 65536) for s in score.values()) - 1) < 1e-3
+    random.seed(12)
+    words = ["".join(random.choices(["the", "ing", "q", "é", "ation", "zz", "😀", "a"], k=random.randint(1, 30))) for _ in range(300)] * 2
+
+    def plain(b):
+        best = [0]
+        for j in range(1, len(b) + 1):
+            best.append(max(best[i] + score[b[i:j]] for i in range(j) if b[i:j] in score))
+        return -best[-1] & 0xFFFFFFFF
+
+    want = [plain(w.encode()) for w in words]
+    assert list(map(token_counts.Trie(path).count, words)) == want
+    for name, value in (("NODES", 60), ("KEPT", 7), ("LONG", 12)):
+        monkeypatch.setattr(token_counts, name, value)
+        assert list(map(token_counts.Trie(path).count, words)) == want
+    assert token_counts.Trie(path).count("ab" * 100_000) > 1000
+
+
 def statistics(t):
     import re
 

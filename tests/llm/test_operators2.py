@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quiltgraph.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -129,10 +132,40 @@ def test_classifier_held_out_accuracy(spark):
     assert auc > 0.97
 
 
+def test_classifier_expression_is_the_rules(spark):
+    """The compiled column against Rule.covers in numpy, and the rules against their terms, on every document."""
+    import numpy as np
+
+    from quiltgraph.llm import quality_classifier as C
+    from quiltgraph.llm.quality_rules import with_statistics
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = Q.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = C.train(docs, labels)
+    f = C.features()
+    rows = with_statistics(docs, [docs["doc_id"]]).select("doc_id", *[c.alias(n) for n, c in f.items()]).toPandas()
+    x = rows[list(f)].to_numpy(float)
+    z = np.full(len(x), model.bias)
+    for rule, w in zip(model.rules, model.weights, strict=True):
+        on = [all(v[k] > b if above else v[k] <= b for k, above, b in rule.terms) for v in x]
+        assert (rule.covers(x) == on).all()
+        z += w * np.array(on)
+    want = dict(zip(rows.doc_id, 1 / (1 + np.exp(-z)), strict=True))
+    got = C.scored(docs, model).collect()
+    assert len(model.rules) >= 2 and len(got) == len(want)
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 1e-9 and r.predicted == (r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    few = C.train(docs, labels, most=40)
+    again = C.train(docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" x")))), labels, most=40)
+    assert few == C.train(docs.repartition(5), labels, most=40) and again.names == few.names
+
+
 def test_classifier_odd_rows(spark, tmp_path):
     from quiltgraph.llm import quality_classifier as C
 
-    docs = spark.createDataFrame([(1, None, 5), (1, "a b", 5), (None, "x", 5), (2, "", 5)], "doc_id long, text string, score int")
+    long = "one two three\n" * 50_000
+    docs = spark.createDataFrame([(1, None, 5, 0), (1, "a b", 5, 0), (None, "x", 5, 0), (2, long, 5, 0)], "doc_id long, text string, score int, words int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = C.classifier_report(docs, none).collect()
     assert len(got) == 4 and {r.score for r in got} == {0.5}
