@@ -94,6 +94,28 @@ def merged(piece: bytes, rank: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(out)
 
 
+class Vocabulary:
+    """The bytes of ids: all that decoding needs."""
+
+    def __init__(self, path: str):
+        rank = ranks(path)
+        self.bytes_of: list[bytes] = [b""] * (max(rank.values()) + 1)
+        for token, i in rank.items():
+            self.bytes_of[i] = token
+        self.sizes = np.array(list(map(len, self.bytes_of)), np.int32)
+
+    def offsets(self, ids) -> np.ndarray:
+        """Byte offset of each token's start in the encoded text."""
+        ends = np.cumsum(self.sizes[ids], dtype=np.int32)
+        return np.concatenate([np.zeros(1, np.int32), ends[:-1]]) if len(ids) else ends
+
+    def decode(self, ids, offsets=None) -> bytes:
+        """The text's bytes: each token's at its offset, which must be where the token before ends."""
+        if offsets is not None and not np.array_equal(self.offsets(ids), offsets):
+            raise ValueError("the offsets are not those of the ids")
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+
+
 class Codec(dict):
     """piece -> ids, filled on first use; a full generation becomes the old one, which replaces the one before."""
 
@@ -101,11 +123,7 @@ class Codec(dict):
         super().__init__()
         self.old: dict[str, tuple[int, ...]] = {}
         self.rank = ranks(path)
-        size = max(self.rank.values()) + 1
-        self.bytes_of: list[bytes] = [b""] * size
-        for token, i in self.rank.items():
-            self.bytes_of[i] = token
-        self.sizes = np.array(list(map(len, self.bytes_of)), np.int32)
+        self.offsets = vocabulary(path).offsets
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.old.get(piece)
@@ -121,16 +139,10 @@ class Codec(dict):
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [list(chain.from_iterable(map(self.__getitem__, p))) for p in pretokens.pieces(texts)]
 
-    def offsets(self, ids: list[int]) -> np.ndarray:
-        """Byte offset of each token's start in the encoded text."""
-        ends = np.cumsum(self.sizes[ids], dtype=np.int32)
-        return np.concatenate([np.zeros(1, np.int32), ends[:-1]]) if len(ids) else ends
 
-    def decode(self, ids: list[int], offsets: np.ndarray | None = None) -> bytes:
-        """The text's bytes: each token's at its offset, which must be where the token before ends."""
-        if offsets is not None and not np.array_equal(self.offsets(ids), offsets):
-            raise ValueError("the offsets are not those of the ids")
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+@functools.cache
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 @functools.cache
@@ -142,13 +154,15 @@ def _encoder(path: str, text_at: int, schema: pa.Schema, offsets: bool):
     def run(batches):
         c = codec(path)
         for batch in batches:
-            ids: list[list[int]] = []
-            for group in pretokens.groups(x or "" for x in batch.column(text_at).to_pylist()):
-                ids += c.encode(group)
-            own = [pa.array(ids, pa.list_(pa.int32()))]
-            if offsets:
-                own.append(pa.array(map(c.offsets, ids), pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), *own], names=[*schema, *(["ids", "offsets"][: len(own)])])
+            at = 0
+            for group in pretokens.groups(x.as_py() or "" for x in batch.column(text_at)):  # a batch a group: ids are far larger than texts in memory
+                ids = c.encode(group)
+                own = [pa.array(ids, pa.list_(pa.int32()))]
+                if offsets:
+                    own.append(pa.array(map(c.offsets, ids), pa.list_(pa.int32())))
+                rows = batch.slice(at, len(group))
+                at += len(group)
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(rows.num_columns)), *own], names=[*schema, *(["ids", "offsets"][: len(own)])])
 
     return run
 
@@ -162,6 +176,10 @@ def encode(docs: DataFrame, path: str | None = None, offsets: bool = True) -> Da
     return docs.mapInArrow(_encoder(path or vocabulary_path(), docs.columns.index("text"), docs.columns, offsets), schema)
 
 
+def _numbers(x: pa.ListScalar) -> np.ndarray:
+    return x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32)
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Rows with ids, and offsets where they are kept -> the same rows with ``decoded`` (binary)."""
     shipped(encoded.sparkSession)
@@ -170,17 +188,15 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     at, names = encoded.columns.index("ids"), encoded.columns
     offsets_at = names.index("offsets") if "offsets" in names else None
 
-    def lists(c):
-        flat, ends = c.flatten().to_numpy(zero_copy_only=False), c.offsets.to_numpy()
-        return np.split(flat, (ends - ends[0])[1:-1])
-
     def run(batches):
-        c = codec(path)
-        for batch in batches:
-            ids = [x or [] for x in batch.column(at).to_pylist()]
-            offsets = lists(batch.column(offsets_at)) if offsets_at is not None and ids else [None] * len(ids)
-            out = [c.decode(x, o) for x, o in zip(ids, offsets, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), pa.array(out, pa.binary())], names=[*names, "decoded"])
+        v = vocabulary(path)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                batch = whole.slice(lo, 64)
+                ids = [_numbers(x) for x in batch.column(at)]
+                offsets = map(_numbers, batch.column(offsets_at)) if offsets_at is not None else [None] * len(ids)
+                out = [v.decode(x, o) for x, o in zip(ids, offsets, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns)), pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 

@@ -75,7 +75,7 @@ def test_byte_bpe_is_tiktoken(spark, odd):
         assert got == want
     back = byte_bpe.decode(byte_bpe.encode(spark.read.parquet(f"{odd[0]}/documents.parquet"))).collect()
     assert all(bytes(r.decoded).decode() == (r.text or "") and len(r.offsets) == len(r.ids) for r in back)
-    c = byte_bpe.codec(byte_bpe.vocabulary_path())
+    c = byte_bpe.vocabulary(byte_bpe.vocabulary_path())
     for r in back:
         ends = [*r.offsets[1:], len(r.decoded)]
         assert all(bytes(r.decoded)[a:b] == c.bytes_of[i] for i, a, b in zip(r.ids, r.offsets, ends, strict=False))
