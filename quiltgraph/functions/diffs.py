@@ -9,13 +9,15 @@ END = 9_223_372_036_854_775_807
 
 
 def changed_ranges(lines: DataFrame) -> DataFrame:
-    """(diff, n, line) in order -> (diff, file, start, end): new-side ranges.
+    """(diff, n, line) in order -> (diff, file, start, end): ranges of lines in the new files, by the unified format.
 
-    A hunk that only deletes counts as the line it was deleted after; a deleted file as all its lines.
+    A hunk's header gives the first new line and how many follow (1 if left out). With 0, nothing new is
+    there, and the header names the line before: that line (the first, at least) stands for the change.
+    Where the new file is /dev/null, every line of the old one has changed.
     """
     w = Window.partitionBy("diff").orderBy("n")
-    old = F.when(F.col("line").startswith("--- "), F.when(F.col("line") == "--- /dev/null", "").otherwise(F.substring("line", 7, 1_000_000)))
-    new = F.when(F.col("line").startswith("+++ "), F.when(F.col("line") == "+++ /dev/null", "").otherwise(F.substring("line", 7, 1_000_000)))
+    old = F.when(F.col("line").startswith("--- "), F.when(F.col("line") == "--- /dev/null", "").otherwise(F.expr("substring(line, 7)")))
+    new = F.when(F.col("line").startswith("+++ "), F.when(F.col("line") == "+++ /dev/null", "").otherwise(F.expr("substring(line, 7)")))
     d = lines.withColumn("old", F.last(old, ignorenulls=True).over(w)).withColumn("is_new", new).withColumn("new", F.last(new, ignorenulls=True).over(w))
     hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
     start = F.regexp_extract("line", hunk, 1).try_cast("long")

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Points of a literal segment, a parameter and an open end, and the names of kinds of match.
+LITERAL, PARAMETER, OPEN = 3, 2, 1
+KINDS = ("catch-all", "parameter", "exact")
+
+
 def url_segments(url: Column) -> Column:
     path = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+", ""), r"[?#].*$", "")
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.coalesce(F.try_url_decode(s), s))
@@ -25,18 +30,18 @@ def route_segments(pattern: Column) -> Column:
 
 
 def match_score(url: Column, route: Column) -> Column:
-    """struct<score, match> of URL segments against route segments: 3 a literal, 2 a parameter, 1 the rest; null for no match."""
+    """struct<score, match> of URL segments against route segments: points of each; null for no match."""
     n = F.size(route)
     open_end = (n > 0) & F.coalesce(F.try_element_at(route, n)["kind"].isin("rest", "rest-or-none"), F.lit(False))
     fixed = F.when(open_end, n - 1).otherwise(n)
     enough = F.when(open_end, (F.size(url) > fixed) | ((F.size(url) == fixed) & (F.try_element_at(route, n)["kind"] == "rest-or-none"))).otherwise(F.size(url) == n)
     head = F.slice(route, F.lit(1), fixed)
     points = F.aggregate(
-        F.zip_with(head, F.slice(url, F.lit(1), F.greatest(fixed, F.lit(0))), lambda r, u: F.when(r["kind"] == "param", F.when(u.isNotNull(), 2)).when(r["kind"] == "literal", F.when(r["value"] == u, 3))),
+        F.zip_with(head, F.slice(url, F.lit(1), F.greatest(fixed, F.lit(0))), lambda r, u: F.when(r["kind"] == "param", F.when(u.isNotNull(), PARAMETER)).when(r["kind"] == "literal", F.when(r["value"] == u, LITERAL))),
         F.lit(0), lambda a, x: a + x,
     )
-    score = points + F.when(open_end, 1).otherwise(0)
-    kind = F.when(open_end, "catch-all").when(F.exists(route, lambda r: r["kind"] == "param"), "parameter").otherwise("exact")
+    score = points + F.when(open_end, OPEN).otherwise(0)
+    kind = F.when(open_end, KINDS[0]).when(F.exists(route, lambda r: r["kind"] == "param"), KINDS[1]).otherwise(KINDS[2])
     return F.when(enough & score.isNotNull(), F.struct(score.alias("score"), kind.alias("match")))
 
 

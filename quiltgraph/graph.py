@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,38 @@ from pyspark.sql import functions as F
 from .schema import GraphSchema
 
 
+class Tables(Mapping):
+    """name -> DataFrame, each made when it is first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+    def only(self, names) -> Tables:
+        return Tables({n: self._makers[n] for n in names if n in self._makers})
+
+
 @dataclass
 class Graph:
     """Node tables have id and properties; relationship tables rel_id, src, dst and properties."""
 
     spark: SparkSession
     schema: GraphSchema
-    nodes: dict[str, DataFrame] = field(default_factory=dict)
-    rels: dict[str, DataFrame] = field(default_factory=dict)
+    nodes: Mapping[str, DataFrame] = field(default_factory=dict)
+    rels: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def node_table(self, label: str) -> DataFrame:
         if label in self.nodes:

@@ -65,21 +65,19 @@ def _strong(spark, sf):
 
 
 CHAINS = f"""WITH RECURSIVE {FLOW_SQL}, e AS (SELECT 'part:' || a AS a, 'part:' || b AS b, (a + b) % 7 AS s FROM flow),
-  w(seed, v, d, path, weak) AS (SELECT 'part:' || p_partkey, 'part:' || p_partkey, 0, ['part:' || p_partkey], NULL::BIGINT FROM part WHERE p_partkey <= 25
-  UNION ALL SELECT seed, b, d + 1, list_append(path, b), least(weak, s) FROM w JOIN e ON v = a WHERE d < 4 AND NOT list_contains(path, b)),
+  w(seed, v, d, path, weak) AS (SELECT 'part:' || p_partkey, 'part:' || p_partkey, 0, ['part:' || p_partkey], NULL::BIGINT FROM part WHERE p_brand = 'Brand#14'
+  UNION ALL SELECT seed, b, d + 1, list_append(path, b), least(weak, s) FROM w JOIN e ON v = a WHERE d < 3 AND NOT list_contains(path, b)),
   m AS (SELECT seed, v, min(d) AS d FROM w GROUP BY ALL)"""
 
 
 @registered(CHAINS + " SELECT seed, w.v AS id, w.d::INT AS depth, min(path) AS path FROM w JOIN m USING (seed, v, d) GROUP BY ALL")
 def shortest_chain(spark, sf):
-    seeds = derived_graph(spark, sf).node_table("Part").filter(F.regexp_extract("id", r"(\d+)$", 1).cast("long") <= 25).select("id")
-    return traverse.shortest_chains(_strong(spark, sf), seeds, 4).select("seed", "id", "depth", "path")
+    return traverse.shortest_chains(_strong(spark, sf), brand(spark, sf, "Brand#14"), 3).select("seed", "id", "depth", "path")
 
 
 @registered(CHAINS + " SELECT seed, w.v AS id, min(struct_pack(p := path, k := weak)).k::BIGINT AS weakest FROM w JOIN m USING (seed, v, d) WHERE w.d > 0 GROUP BY seed, w.v")
 def weakest_link(spark, sf):
-    seeds = derived_graph(spark, sf).node_table("Part").filter(F.regexp_extract("id", r"(\d+)$", 1).cast("long") <= 25).select("id")
-    return traverse.shortest_chains(_strong(spark, sf), seeds, 4).filter("depth > 0").select("seed", "id", "weakest")
+    return traverse.shortest_chains(_strong(spark, sf), brand(spark, sf, "Brand#14"), 3).filter("depth > 0").select("seed", "id", "weakest")
 
 
 @registered(f"WITH RECURSIVE {FLOW_SQL}, r AS (SELECT a, b FROM flow JOIN part ON a = p_partkey WHERE p_size = 1 UNION SELECT r.a, flow.b FROM r JOIN flow ON r.b = flow.a) SELECT 'part:' || a AS seed, 'part:' || b AS id FROM r")
@@ -205,7 +203,7 @@ PATHS = "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(.*)$', 1)[2:] AS p
 
 
 def _paths(spark, sf):
-    return derived_graph(spark, sf).node_table("Page").select("id", F.substring("path", 2, 10_000).alias("path"))
+    return derived_graph(spark, sf).node_table("Page").select("id", F.expr("substring(path, 2)").alias("path"))
 
 
 @registered(
@@ -298,7 +296,7 @@ def _small(spark, sf):
 
     g = derived_graph(spark, sf)
     keep = ("Nation", "Region", "IN_REGION")
-    return Graph(spark, g.schema, {k: v for k, v in g.nodes.items() if k in keep}, {k: v for k, v in g.rels.items() if k in keep})
+    return Graph(spark, g.schema, g.nodes.only(keep), g.rels.only(keep))
 
 
 @registered(
