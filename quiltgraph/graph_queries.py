@@ -163,12 +163,20 @@ def architecture_rollup(spark, sf):
     return out.select(F.col("name").alias("region"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("customers", "suppliers", "orders", "finished")])
 
 
-@registered(
-    f"""WITH {FLOW_SQL} SELECT 'node' AS kind, 'Customer' AS name, count(*)::BIGINT AS n FROM customer UNION ALL SELECT 'node', 'Part', count(*) FROM part UNION ALL SELECT 'rel', 'LINE', count(*) FROM lineitem
-    UNION ALL SELECT 'rel', 'PART_FLOW', count(*) FROM flow UNION ALL SELECT 'node', 'User', count(DISTINCT user_id) FROM events UNION ALL SELECT 'rel', 'SUPPLIES', count(DISTINCT (l_suppkey, l_partkey)) FROM lineitem"""
-)
+#: What each table of the graph holds, as SQL.
+COUNTED = {
+    "node": {"Region": "region", "Nation": "nation", "Customer": "customer", "Supplier": "supplier", "Part": "part", "Order": "orders", "User": "(SELECT DISTINCT user_id FROM events)", "EventType": "(SELECT DISTINCT event_type FROM events)",
+             "Event": "events", "Document": "documents", "Label": "labels", "Page": "pages", "Host": "(SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1) FROM pages)", "Conversation": "(SELECT DISTINCT conv_id FROM conversations)", "Message": "conversations"},
+    "rel": {"IN_REGION": "nation", "CUSTOMER_IN_NATION": "customer", "SUPPLIER_IN_NATION": "supplier", "PLACED": "orders", "LINE": "lineitem", "SUPPLIES": "(SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)", "PART_FLOW": "flow",
+            "TRADES": "(SELECT DISTINCT s_nationkey, c_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)", "DID": "events", "HAS_TYPE": "events",
+            "NEXT_EVENT": "(SELECT lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NOT NULL", "TRANSITION": "(SELECT DISTINCT * FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NOT NULL)",
+            "LABELLED": "labels", "ON_HOST": "pages", "SAYS": "conversations", "NEXT_MESSAGE": "conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn + 1 = y.turn"},
+}
+
+
+@registered(f"WITH {FLOW_SQL} " + " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{name}' AS name, count(*)::BIGINT AS n FROM {table}" for kind, tables in COUNTED.items() for name, table in tables.items()))
 def stats_by_label(spark, sf):
-    return derived_graph(spark, sf).stats().filter(F.col("name").isin("Customer", "Part", "LINE", "PART_FLOW", "User", "SUPPLIES"))
+    return derived_graph(spark, sf).stats()
 
 
 @registered("SELECT lang, source, list_sort(list(DISTINCT quality || '/' || toxic)) AS variants FROM documents JOIN labels USING (doc_id) GROUP BY lang, source")
@@ -344,10 +352,10 @@ def impact(spark, sf):
     return lists["orders"]
 
 
-@registered(f"WITH {FLOW_SQL} SELECT 'part:' || p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT a FROM flow) AND p_partkey NOT IN (SELECT b FROM flow)")
+@registered("SELECT 'document:' || doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unused_nodes(spark, sf):
     g = derived_graph(spark, sf)
-    return tools.unused(g.node_table("Part").select("id"), [g.rel_table("PART_FLOW")])
+    return tools.unused(g.node_table("Document").select("id"), [g.rel_table("LABELLED")])
 
 
 @registered("WITH t AS (SELECT 'supplier' AS kind, 'supplier:' || l_suppkey AS id, 'part:' || l_partkey AS ref FROM lineitem UNION SELECT 'order', 'order:' || l_orderkey, 'part:' || l_partkey FROM lineitem) SELECT kind, id, ref FROM t WHERE ref IN ('part:1', 'part:7')")

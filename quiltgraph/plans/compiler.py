@@ -118,6 +118,7 @@ class Compiler:
         self.df: DataFrame | None = None
         self.made = 0
         self.reads: set[str] = set()
+        self.whole: set[str] = set()
 
     def fresh(self, kind: str) -> str:
         self.made += 1
@@ -130,6 +131,8 @@ class Compiler:
                 inner = {id(x.of) for x in walk(e) if isinstance(x, S.Prop)} | {id(a) for x in walk(e) if isinstance(x, S.Call) and x.name in ("id", "label", "labels", "count") for a in x.args}
                 self.reads |= {x.of.name for x in walk(e) if isinstance(x, S.Prop) and isinstance(x.of, S.Var)}
                 self.reads |= {x.name for x in walk(e) if isinstance(x, S.Var) and id(x) not in inner}
+                sizes = {id(a) for x in walk(e) if isinstance(x, S.Call) and x.name in ("size", "count") and not x.distinct for a in x.args}
+                self.whole |= {x.name for x in walk(e) if isinstance(x, S.Var) and id(x) not in sizes}
         for c in clauses:
             if isinstance(c, S.Match):
                 self.match(c)
@@ -302,7 +305,7 @@ class Compiler:
             self.scope[r.var] = e
         else:
             df = self.walked(df, near, steps, e, r, backwards)
-            self.scope[r.var] = Value(f"{e.prefix}_walk", list_type("REL"))
+            self.scope[r.var] = Value(f"{e.prefix}_walk", list_type("REL") if r.var in self.whole else "WALK")
         known = self.scope.get(b.var)
         if known is not None:
             df = df.filter(F.col(to) == known.id())
@@ -330,18 +333,22 @@ class Compiler:
         return out[0], out[1]
 
     def walked(self, df, near, steps, e: Element, r: S.Rel, backwards: bool) -> DataFrame:
-        """Walks of lo to hi relationships: one join a level; the lineage is cut and emptiness tested each few levels."""
+        """Walks of lo to hi relationships: one join a level; the lineage is cut and emptiness tested each few levels.
+
+        A walk is the list of its relationships, or only their number where nothing else of it is read.
+        """
         lo, hi = r.hops
+        whole = r.var in self.whole
         p = e.prefix
         props = [f for f, t in e.props.items() if t != "CONFLICT"]
         one = F.struct(F.col(f"{p}_id").alias("id"), F.col(f"{p}_label").alias("label"), F.col(f"{p}_src").alias("src"), F.col(f"{p}_dst").alias("dst"), *[F.col(f"{p}_p_{f}").alias(f"p_{f}") for f in props])
-        edges = steps.select(F.col(f"{p}_from").alias("w_from"), F.col(f"{p}_to").alias("w_to"), F.col(f"{p}_tl").alias("w_label"), one.alias("w_edge"))
-        empty = F.array().cast(edges.select(F.array("w_edge")).schema[0].dataType)
+        edges = steps.select(F.col(f"{p}_from").alias("w_from"), F.col(f"{p}_to").alias("w_to"), F.col(f"{p}_tl").alias("w_label"), *([one.alias("w_edge")] if whole else []))
+        empty = F.array().cast(edges.select(F.array("w_edge")).schema[0].dataType) if whole else F.lit(0)
         names = df.columns
         level = df.select(*names, near.id().alias(f"{p}_to"), F.col(f"{near.prefix}_label").alias(f"{p}_tl"), empty.alias(f"{p}_walk"))
         found = [level] if lo == 0 else []
         for k in range(1, hi + 1):
-            level = level.join(edges, F.col(f"{p}_to") == F.col("w_from")).select(*names, F.col("w_to").alias(f"{p}_to"), F.col("w_label").alias(f"{p}_tl"), F.array_append(f"{p}_walk", F.col("w_edge")).alias(f"{p}_walk"))
+            level = level.join(edges, F.col(f"{p}_to") == F.col("w_from")).select(*names, F.col("w_to").alias(f"{p}_to"), F.col("w_label").alias(f"{p}_tl"), (F.array_append(f"{p}_walk", F.col("w_edge")) if whole else F.lit(k)).alias(f"{p}_walk"))
             if k % 4 == 0 and hi > 6:
                 from ..operators.storage import written
 
@@ -351,7 +358,7 @@ class Compiler:
             if k >= lo:
                 found.append(level)
         out = reduce(lambda a, b: a.unionByName(b), found) if found else level.filter(F.lit(False))
-        return out.withColumn(f"{p}_walk", F.reverse(f"{p}_walk")) if backwards else out
+        return out.withColumn(f"{p}_walk", F.reverse(f"{p}_walk")) if backwards and whole else out
 
     # ---- projections
     def project(self, c: S.Project) -> None:
@@ -762,6 +769,8 @@ class Compiler:
         if e.name == "size":
             if t.type == "NULL":
                 return null("INT")
+            if t.type == "WALK":
+                return Typed(t.col.cast("bigint"), "INT")
             if t.type != "STRING" and not is_list(t.type):
                 raise BinderError(f"size takes STRING or LIST, found {t.type}")
             return Typed((F.char_length(t.col) if t.type == "STRING" else F.size(t.col)).cast("bigint"), "INT")
