@@ -28,7 +28,7 @@ from .common import shipped
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces in each of a worker's two cache generations, and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 64
+CACHE_PIECES, CACHE_CHARS = 200_000, 64
 #: Bytes up to which all pairs are looked through for each merge; longer pieces use a heap.
 SHORT = 48
 NONE = 1 << 40
@@ -123,7 +123,6 @@ class Codec(dict):
         super().__init__()
         self.old: dict[str, tuple[int, ...]] = {}
         self.rank = ranks(path)
-        self.offsets = vocabulary(path).offsets
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.old.get(piece)
@@ -150,30 +149,37 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _encoder(path: str, text_at: int, schema: pa.Schema, offsets: bool):
+KINDS = {"ids": pa.list_(pa.int32()), "offsets": pa.list_(pa.int32()), "decoded": pa.binary(), "intact": pa.bool_()}
+
+
+def _encoder(path: str, text_at: int, names: list[str], own: list[str]):
     def run(batches):
-        c = codec(path)
+        c, v = codec(path), vocabulary(path)
         for batch in batches:
             at = 0
             for group in pretokens.groups(x.as_py() or "" for x in batch.column(text_at)):  # a batch a group: ids are far larger than texts in memory
-                ids = c.encode(group)
-                own = [pa.array(ids, pa.list_(pa.int32()))]
-                if offsets:
-                    own.append(pa.array(map(c.offsets, ids), pa.list_(pa.int32())))
+                found = {"ids": c.encode(group)}
+                if len(own) > 1:
+                    found["offsets"] = list(map(v.offsets, found["ids"]))
+                if "decoded" in own or "intact" in own:
+                    found["decoded"] = list(map(v.decode, found["ids"], found["offsets"]))
+                    found["intact"] = [d == t.encode() for d, t in zip(found["decoded"], group, strict=True)]
                 rows = batch.slice(at, len(group))
                 at += len(group)
-                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(rows.num_columns)), *own], names=[*schema, *(["ids", "offsets"][: len(own)])])
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(rows.num_columns)), *(pa.array(found[o], KINDS[o]) for o in own)], names=[*names, *own])
 
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, offsets: bool = True) -> DataFrame:
-    """``docs`` with ids array<int> and, if wanted, offsets array<int> (bytes)."""
+def encode(docs: DataFrame, path: str | None = None, offsets: bool = True, decoded: bool = False, intact: bool = False) -> DataFrame:
+    """``docs`` with ids array<int> and, if wanted, offsets array<int> (bytes), decoded (binary: the ids decoded
+    by their offsets, in the same pass) and intact (whether that is the text)."""
     shipped(docs.sparkSession)
-    docs = docs.drop("ids", "offsets")
-    own = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("offsets", T.ArrayType(T.IntegerType()))] * offsets
-    schema = T.StructType([*docs.schema.fields, *own])
-    return docs.mapInArrow(_encoder(path or vocabulary_path(), docs.columns.index("text"), docs.columns, offsets), schema)
+    types = {"ids": T.ArrayType(T.IntegerType()), "offsets": T.ArrayType(T.IntegerType()), "decoded": T.BinaryType(), "intact": T.BooleanType()}
+    own = [n for n, on in (("ids", True), ("offsets", offsets or decoded or intact), ("decoded", decoded), ("intact", intact)) if on]
+    docs = docs.drop(*types)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, types[n]) for n in own)])
+    return docs.mapInArrow(_encoder(path or vocabulary_path(), docs.columns.index("text"), docs.columns, own), schema)
 
 
 def _numbers(x: pa.ListScalar) -> np.ndarray:
@@ -203,7 +209,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes: encodes with offsets, and decodes by them."""
-    d = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids", "offsets"), path)
+    d = encode(docs.select("doc_id", "text"), path, decoded=True)
     return d.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

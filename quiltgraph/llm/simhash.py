@@ -49,8 +49,9 @@ SHINGLE, SEED, DISTANCE = 3, 42, 2
 COPY_SHINGLE, TENTHS = 5, 8
 #: The second segment's bits, and what marks keys of its table.
 SECOND, TABLE = (1 << 32) - 1, 1 << 32
-#: Buckets of more fingerprints are split, keys of more sets are taken by pivots; so many pivots a key and round.
-HOT, HOT_SETS, PIVOTS = 64, 160, 4
+#: Buckets of more fingerprints are split, keys of more sets are taken by pivots; so many pivots a key and round,
+#: and a quarter of them where a key has more than MANY sets, so that what is tried stays in proportion to the sets.
+HOT, HOT_SETS, PIVOTS, MANY = 64, 160, 8, 1_000
 #: Frequent shingles (of one set in SHARE) that are put last in the order, and ids that are broadcast, at most.
 FREQUENT, SHARE, BROADCAST_IDS = 100_000, 16, 200_000
 
@@ -352,20 +353,20 @@ def similar_sets(docs: DataFrame, signed: DataFrame, width: int = COPY_SHINGLE,
     found = [sim.similar(_all_pairs(keys.filter(F.col("sets") <= hot), tenths))]
     # the places at_a and at_b of a pair's first shared key allow (10 + t)(at_a + at_b) <= (10 - t)(n_a + n_b) only
     slack = (10 + tenths) * F.col("at") - (10 - tenths) * F.col("n")
-    rest = written(keys.filter(F.col("sets") > hot).select("key", "fp", "n", "at", slack.alias("s")))
+    rest = written(keys.filter(F.col("sets") > hot).select("key", "fp", "n", "at", slack.alias("s"), "sets"))
     dropped(keys, sizes)
     far = 2 * tenths - 10  # a set farther from a pivot is linked to nothing that the pivot takes: distances add up
     while not rest.isEmpty():
         least = written(rest.groupBy("key").agg(F.min(F.struct("s", "fp")).alias("least")))
         rest = written(rest.join(least, "key").filter((F.col("s") + F.col("least.s") <= 0) | (F.col("fp") == F.col("least.fp"))).drop("least"))
         left = written(_several(rest))
-        few = rest.join(left.filter(F.col("sets") <= hot).select("key"), "key", "left_semi")
+        few = rest.join(left.filter(F.col("sets") <= hot).select("key"), "key", "left_semi").drop("sets")
         found.append(sim.similar(_all_pairs(few, tenths)))
-        rest = written(rest.join(left.filter(F.col("sets") > hot).select("key"), "key", "left_semi"))
+        rest = written(rest.drop("sets").join(left.filter(F.col("sets") > hot), "key"))
         if rest.isEmpty():
             break
         order = F.row_number().over(Window.partitionBy("key").orderBy("s", "fp"))
-        chosen = written(rest.withColumn("r", order).filter(F.col("r") <= pivots).select("key", F.col("fp").alias("p")))
+        chosen = written(rest.withColumn("r", order).filter(F.col("r") <= F.when(F.col("sets") > MANY, max(1, pivots // 4)).otherwise(pivots)).select("key", F.col("fp").alias("p")))
         tried = rest.join(chosen, "key").filter("fp <> p").select(F.col("p").alias("a"), F.col("fp").alias("b")).distinct()
         s = sim.exact(sim.bounded(tried))
         link = written(s.filter(sim.good()).select("a", "b", (F.col("same") / F.col("whole")).alias("near")))
