@@ -28,7 +28,7 @@ from .common import shipped
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces in each of a worker's two cache generations, and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 200_000, 64
+CACHE_PIECES, CACHE_CHARS = 300_000, 64
 #: Bytes up to which all pairs are looked through for each merge; longer pieces use a heap.
 SHORT = 48
 NONE = 1 << 40
@@ -149,24 +149,30 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-KINDS = {"ids": pa.list_(pa.int32()), "offsets": pa.list_(pa.int32()), "decoded": pa.binary(), "intact": pa.bool_()}
-
-
 def _encoder(path: str, text_at: int, names: list[str], own: list[str]):
     def run(batches):
         c, v = codec(path), vocabulary(path)
         for batch in batches:
             at = 0
             for group in pretokens.groups(x.as_py() or "" for x in batch.column(text_at)):  # a batch a group: ids are far larger than texts in memory
-                found = {"ids": c.encode(group)}
+                ids = c.encode(group)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
+                lists = lambda a, ends=ends: pa.ListArray.from_arrays(pa.array(ends), pa.array(a))
+                found = {"ids": lists(flat)}
                 if len(own) > 1:
-                    found["offsets"] = list(map(v.offsets, found["ids"]))
-                if "decoded" in own or "intact" in own:
-                    found["decoded"] = list(map(v.decode, found["ids"], found["offsets"]))
-                    found["intact"] = [d == t.encode() for d, t in zip(found["decoded"], group, strict=True)]
+                    places = np.concatenate([[0], np.cumsum(v.sizes[flat])]).astype(np.int32)  # of tokens in all of the group's bytes
+                    found["offsets"] = lists(places[:-1] - np.repeat(places[ends[:-1]], np.diff(ends)))
+                if len(own) > 2:
+                    whole = b"".join(map(v.bytes_of.__getitem__, chain.from_iterable(ids)))
+                    cuts = places[ends]  # each text's bytes lie between the offsets of its first token and the next text's
+                    if "decoded" in own:
+                        found["decoded"] = pa.Array.from_buffers(pa.binary(), len(group), [None, pa.py_buffer(cuts), pa.py_buffer(whole)])
+                    if "intact" in own:
+                        found["intact"] = pa.array([whole[i:j] == t.encode() for i, j, t in zip(cuts[:-1], cuts[1:], group, strict=True)], pa.bool_())
                 rows = batch.slice(at, len(group))
                 at += len(group)
-                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(rows.num_columns)), *(pa.array(found[o], KINDS[o]) for o in own)], names=[*names, *own])
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(rows.num_columns)), *(found[o] for o in own)], names=[*names, *own])
 
     return run
 
