@@ -118,7 +118,7 @@ class Compiler:
         self.df: DataFrame | None = None
         self.made = 0
         self.reads: set[str] = set()
-        self.whole: set[str] = set()
+        self.listed: set[str] = set()
 
     def fresh(self, kind: str) -> str:
         self.made += 1
@@ -132,7 +132,7 @@ class Compiler:
                 self.reads |= {x.of.name for x in walk(e) if isinstance(x, S.Prop) and isinstance(x.of, S.Var)}
                 self.reads |= {x.name for x in walk(e) if isinstance(x, S.Var) and id(x) not in inner}
                 sizes = {id(a) for x in walk(e) if isinstance(x, S.Call) and x.name in ("size", "count") and not x.distinct for a in x.args}
-                self.whole |= {x.name for x in walk(e) if isinstance(x, S.Var) and id(x) not in sizes}
+                self.listed |= {x.name for x in walk(e) if isinstance(x, S.Var) and id(x) not in sizes}
         for c in clauses:
             if isinstance(c, S.Match):
                 self.match(c)
@@ -305,7 +305,7 @@ class Compiler:
             self.scope[r.var] = e
         else:
             df = self.walked(df, near, steps, e, r, backwards)
-            self.scope[r.var] = Value(f"{e.prefix}_walk", list_type("REL") if r.var in self.whole else "WALK")
+            self.scope[r.var] = Value(f"{e.prefix}_walk", list_type("REL") if r.var in self.listed else "WALK")
         known = self.scope.get(b.var)
         if known is not None:
             df = df.filter(F.col(to) == known.id())
@@ -338,7 +338,7 @@ class Compiler:
         A walk is the list of its relationships, or only their number where nothing else of it is read.
         """
         lo, hi = r.hops
-        whole = r.var in self.whole
+        whole = r.var in self.listed
         p = e.prefix
         props = [f for f, t in e.props.items() if t != "CONFLICT"]
         one = F.struct(F.col(f"{p}_id").alias("id"), F.col(f"{p}_label").alias("label"), F.col(f"{p}_src").alias("src"), F.col(f"{p}_dst").alias("dst"), *[F.col(f"{p}_p_{f}").alias(f"p_{f}") for f in props])
