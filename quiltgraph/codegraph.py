@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.names import match_score
 from .functions.paths import folder_at, matches_file_or_directory
 from .graph import Graph
-from .operators import components, tools, traverse
+from .operators import components, traverse
 from .schema import GraphSchema, NodeTable, RelTable
 
 S, I, B = "STRING", "INT64", "BOOLEAN"
@@ -28,6 +28,7 @@ CODE = GraphSchema(
         NodeTable("Route", {"method": S, "path": S, "fullPath": S, "framework": S, "line": I}), NodeTable("EntryPoint", {"kind": S, "trigger": S, "line": I}), NodeTable("EnvVar", {"name": S}),
         NodeTable("Page", {"fullPath": S, "framework": S}), NodeTable("Component", {"name": S, "framework": S, "line": I}), NodeTable("Store", {"name": S, "library": S}),
         NodeTable("ConfigValue", {"name": S, "value": S}), NodeTable("DataModel", {"name": S, "library": S}), NodeTable("Table", {"name": S, "library": S}),
+        NodeTable("Field", {"name": S, "typeName": S, "line": I}), NodeTable("Service", {"name": S, "line": I}), NodeTable("Rpc", {"name": S, "line": I}), NodeTable("Message", {"name": S, "line": I}),
     ],
     [
         RelTable("CONTAINS_FILE", "Directory", "File"), RelTable("IMPORTS", "File", "Import"), RelTable("RESOLVES_TO", "Import", "File"), RelTable("DEFINES_FUNCTION", "File", "Function"),
@@ -39,6 +40,12 @@ CODE = GraphSchema(
         RelTable("ACCESSES_DATA_FUNCTION", "Function", "DataModel", {"operation": S, "line": I}), RelTable("MAPS_TO_TABLE", "DataModel", "Table"), RelTable("READS_FUNCTION", "Function", "Table"), RelTable("WRITES_FUNCTION", "Function", "Table"),
         RelTable("DECLARES_COMPONENT", "File", "Component"), RelTable("RENDERS", "Component", "Component"), RelTable("DECLARES_PAGE", "File", "Page"), RelTable("PAGE_RENDERS", "Page", "Component"),
         RelTable("DECLARES_STORE", "File", "Store"), RelTable("READS_STORE", "Function", "Store"), RelTable("WRITES_STORE", "Function", "Store"),
+        RelTable("STORE_ACTION", "Store", "Function"), RelTable("STORE_DEFINED_BY_FUNCTION", "Store", "Function"), RelTable("DEFINES_FIELD", "Class", "Field"), RelTable("PASSED_TO", "Function", "Call"),
+        RelTable("ROUTE_LIFECYCLE_STEP", "Route", "Function", {"role": S}), RelTable("INJECTS", "Class", "Class"), RelTable("CONSUMES_CONFIG_FUNCTION", "Function", "ConfigValue"),
+        RelTable("COMPONENT_DEFINED_BY_FUNCTION", "Component", "Function"), RelTable("COMPONENT_DEFINED_BY", "Component", "Class"), RelTable("PAGE_LOADS", "Page", "Function"),
+        RelTable("RUNS_ENTRYPOINT", "EntryPoint", "EntryPoint", {"command": S}), RelTable("RUNS_FILE", "EntryPoint", "File", {"command": S}),
+        RelTable("DECLARES_SERVICE", "File", "Service"), RelTable("HAS_RPC", "Service", "Rpc"), RelTable("RPC_REQUEST", "Rpc", "Message"), RelTable("RPC_RESPONSE", "Rpc", "Message"),
+        RelTable("RPC_SERVED_BY", "Rpc", "Interface"), RelTable("RPC_IMPLEMENTED_BY", "Rpc", "Function"),
     ],
 )
 KINDS = {"function": "DEFINES_FUNCTION", "class": "DEFINES_CLASS", "interface": "DEFINES_INTERFACE", "type": "DEFINES_TYPE_ALIAS", "enum": "DEFINES_ENUM", "variable": "DEFINES_VARIABLE"}
@@ -82,15 +89,6 @@ def trace_calls(g: Graph, name: str, depth: int = 6, up: bool = False) -> DataFr
     return traverse.shortest_chains(traverse.turned(e) if up else e, seeds, depth)
 
 
-def impact_of(g: Graph, name: str, depth: int = 10) -> dict[str, DataFrame]:
-    """Callers by depth, and the routes, entry points and requests that reach a function of a name."""
-    seeds = g.node_table("Function").filter(F.col("name") == name).select("id")
-    users = {"routes": g.rel_table("ROUTE_HANDLED_BY"), "entrypoints": g.rel_table("ENTRYPOINT_HANDLED_BY")}
-    out = tools.impact(call_edges(g).select("src", "dst"), seeds, depth, {k: e.select("src", "dst") for k, e in users.items()})
-    out["requests"] = g.rel_table("REQUESTS").select("src", F.col("dst").alias("id")).join(out["routes"], "id").select(F.col("src").alias("id"), "depth")
-    return out
-
-
 def list_exports(g: Graph, file: str) -> DataFrame:
     return symbols(g).filter(F.col("exported") & matches_file_or_directory(F.col("file"), file))
 

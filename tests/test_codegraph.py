@@ -5,6 +5,7 @@ import json
 import pytest
 
 from quiltgraph import codegraph as C
+from quiltgraph import codeimpact
 from quiltgraph.sources import records
 
 
@@ -48,8 +49,8 @@ def test_symbols_and_calls(graph):
     assert ids(C.find_callers(graph, "betaGamma"), "caller") == ["fn:alpha"]
     t = {r.id: (r.depth, r.weakest) for r in C.trace_calls(graph, "alpha").collect()}
     assert t == {"fn:alpha": (0, None), "fn:betaGamma": (1, 1)}
-    out = C.impact_of(graph, "betaGamma")
-    assert ids(out["callers"]) == ["fn:alpha"] and ids(out["routes"]) == ["route:1"] and ids(out["requests"]) == []
+    out = codeimpact.impact_of(graph, "betaGamma")
+    assert ids(out["callers"]) == ["fn:alpha"] and ids(out["routes"]) == ["route:1"] and ids(out["apiConsumers"]) == []
     assert ids(C.list_exports(graph, "src/a.ts")) == ["fn:alpha"]
 
 
