@@ -11,6 +11,12 @@ LITERAL, PARAMETER, OPEN = 3, 2, 1
 KINDS = ("catch-all", "parameter", "exact")
 
 
+def joined_path(*parts: Column) -> Column:
+    """One path of parts: single slashes between and before them, none at the end; null parts are empty."""
+    whole = F.concat_ws("/", *parts)
+    return F.concat(F.lit("/"), F.array_join(F.filter(F.split(whole, "/"), lambda s: s != ""), "/"))
+
+
 def url_segments(url: Column) -> Column:
     path = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+", ""), r"[?#].*$", "")
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.coalesce(F.try_url_decode(s), s))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import csv
 import hashlib
+import io
 import json
 from dataclasses import dataclass
 
@@ -129,3 +131,33 @@ def raw_rows(df: DataFrame, most: int = MOST_ROWS) -> dict:
     """Up to ``most`` rows of a query and whether there were more."""
     rows = [r.asDict(True) for r in df.limit(most + 1).collect()]
     return {"rows": rows[:most], "truncated": len(rows) > most}
+
+
+def parameters(told: list[str]) -> dict:
+    """Query parameters from name=json texts; what isn't JSON is a string."""
+    out = {}
+    for t in told:
+        name, sep, value = t.partition("=")
+        if not sep or not name:
+            raise ValueError(f"not name=value: {t}")
+        try:
+            out[name] = json.loads(value)
+        except ValueError:
+            out[name] = value
+    return out
+
+
+def rendered(df: DataFrame, form: str = "json", most: int = MOST_ROWS) -> str:
+    """Up to ``most`` rows for a terminal: json (a list), csv or an aligned table. Whole results are written by Spark."""
+    rows = raw_rows(df, most)["rows"]
+    if form == "json":
+        return json.dumps(rows, default=str, ensure_ascii=False)
+    cells = [["" if v is None else v if isinstance(v, str) else json.dumps(v, default=str, ensure_ascii=False) for v in r.values()] for r in rows]
+    if form == "csv":
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([df.columns, *cells])
+        return out.getvalue()
+    if form != "table":
+        raise ValueError(f"unknown form {form}")
+    widths = [max(len(c), *(len(r[k]) for r in cells), 0) for k, c in enumerate(df.columns)]
+    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in [df.columns, *cells])

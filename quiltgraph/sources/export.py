@@ -46,9 +46,13 @@ def normalized(graph: Graph, root: str | None = None) -> DataFrame:
 
 
 def write_jsonl(graph: Graph, path: str, root: str | None = None) -> None:
+    """Folders nodes and relationships, summary (counts) and manifest (tables, properties, schema)."""
     node_records(graph, root).write.mode("overwrite").json(f"{path}/nodes")
     rel_records(graph, root).write.mode("overwrite").json(f"{path}/relationships")
     graph.stats().write.mode("overwrite").json(f"{path}/summary")
+    kinds = [("node", n, list(t.properties)) for n, t in graph.schema.nodes.items()] + [("rel", n, list(t.properties)) for n, t in graph.schema.rels.items()]
+    told = graph.spark.createDataFrame(kinds, "kind string, name string, properties array<string>").withColumn("schema", F.lit(graph.schema.fingerprint()))
+    told.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def _xml(c: Column) -> Column:

@@ -1,17 +1,22 @@
 """Snapshots of a graph: Parquet generations behind a pointer, with unchanged tables carried over.
 
 A generation is a manifest that names a folder for each table. Folders are named by a fingerprint of
-the table's rows, so a table that didn't change isn't written again. Publishing is one rename of the
-pointer; readers look at it before every read and so see whole generations only. All file access
-goes through Hadoop's file system, so a store can be anywhere that Spark can write.
+the table's rows, so a table that didn't change isn't written again. Publishing is one rename over the
+pointer; readers look at it before every read and so see whole generations only. One writer works at a
+time: it holds a lock file that it keeps fresh, and a lock that nobody has kept fresh is taken over. All
+file access goes through Hadoop's file system, so a store can be anywhere that Spark can write.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
+import threading
 import time
 import uuid
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +24,9 @@ from ..graph import Graph
 from ..schema import GraphSchema
 
 GRACE_SECONDS = 60
+LOCK = "LOCK.json"
+STALE_SECONDS = 120
+WAIT_SECONDS = 600
 
 
 class GraphStore:
@@ -47,10 +55,74 @@ class GraphStore:
             stream.write(bytearray(json.dumps(what).encode()))
         finally:
             stream.close()
-        to = self._jpath(f"{self.path}/{name}")
-        if not self._fs.rename(tmp, to):
-            self._fs.delete(to, False)
-            self._fs.rename(tmp, to)
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        how = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        where = hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        where.rename(self._fs.makeQualified(tmp), self._fs.makeQualified(self._jpath(f"{self.path}/{name}")), how)
+
+    # one writer at a time
+    def _lock_age(self) -> float | None:
+        try:
+            return time.time() - self._fs.getFileStatus(self._jpath(f"{self.path}/{LOCK}")).getModificationTime() / 1000
+        except Py4JJavaError as e:
+            if "FileNotFoundException" in str(e):
+                return None
+            raise
+
+    def _try_lock(self, owner: str) -> bool:
+        p = self._jpath(f"{self.path}/{LOCK}")
+        try:
+            stream = self._fs.create(p, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e) or "already exists" in str(e):
+                return False
+            raise
+        try:
+            stream.write(bytearray(json.dumps({"owner": owner}).encode()))
+        finally:
+            stream.close()
+        return True
+
+    def _holds(self, owner: str) -> bool:
+        try:
+            told = self._read(LOCK)
+        except ValueError:  # another writer is just taking it
+            return False
+        return told is not None and told["owner"] == owner
+
+    @contextlib.contextmanager
+    def locked(self, wait: float = WAIT_SECONDS, stale: float = STALE_SECONDS) -> Iterator[None]:
+        """Holds the store's lock. Waits for another writer up to ``wait`` seconds, then raises TimeoutError;
+        a lock not kept fresh for ``stale`` seconds is moved away (one rename, so by one writer only)."""
+        until = time.time() + wait
+        owner = uuid.uuid4().hex
+        p = self._jpath(f"{self.path}/{LOCK}")
+        while not self._try_lock(owner):
+            age = self._lock_age()
+            if age is not None and age > stale:
+                gone = self._jpath(f"{self.path}/.{LOCK}-{uuid.uuid4().hex}")
+                if self._fs.rename(p, gone):
+                    self._fs.delete(gone, False)
+                continue
+            if time.time() > until:
+                raise TimeoutError(f"another writer holds {self.path}")
+            time.sleep(min(0.2, wait))
+        done = threading.Event()
+
+        def fresh() -> None:
+            while not done.wait(max(stale / 4, 1)) and self._holds(owner):
+                self._fs.setTimes(p, int(time.time() * 1000), -1)
+
+        keeper = threading.Thread(target=fresh, daemon=True)
+        keeper.start()
+        try:
+            yield
+        finally:
+            done.set()
+            keeper.join()
+            if self._holds(owner):
+                self._fs.delete(p, False)
 
     # generations
     def head(self) -> dict | None:
@@ -76,8 +148,13 @@ class GraphStore:
         r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), *cols).cast("decimal(38,0)")).alias("b")).first()
         return f"{r.n:x}-{int(r.a or 0) % (1 << 64):016x}{int(r.b or 0) % (1 << 64):016x}"
 
-    def write(self, graph: Graph, mode: str = "replace") -> dict:
-        """replace: all tables; append: adds rows to the tables given. Returns the new pointer."""
+    def write(self, graph: Graph, mode: str = "replace", told: dict | None = None) -> dict:
+        """replace: all tables; append: adds rows to the tables given. ``told`` is published with the new
+        pointer, which is returned."""
+        with self.locked():
+            return self._publish(graph, mode, told or {})
+
+    def _publish(self, graph: Graph, mode: str, told: dict) -> dict:
         old = self.head()
         same = old is not None and old["schema"] == self.schema.fingerprint()
         tables = dict(old["tables"]) if same and mode == "append" else {}
@@ -96,7 +173,9 @@ class GraphStore:
             if folder not in known:
                 df.write.mode("overwrite").parquet(f"{self.path}/{folder}")
             tables[name] = folder
-        head = {"generation": (old["generation"] if old else 0) + 1, "schema": self.schema.fingerprint(), "tables": tables, "at": time.time()}
+        if mode == "append" and old and "batch" in old:
+            told = {"batch": old["batch"]} | told
+        head = {"generation": (old["generation"] if old else 0) + 1, "schema": self.schema.fingerprint(), "tables": tables, "at": time.time()} | told
         self._write("HEAD.json", head)
         return head
 

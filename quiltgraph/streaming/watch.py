@@ -28,8 +28,6 @@ def appending(store, build: Callable[[DataFrame], object]) -> Callable[[DataFram
         if head is not None and head.get("batch", -1) >= number:
             return
         if not batch.isEmpty():
-            head = store.write(build(batch), mode="append")
-        if head is not None:
-            store._write("HEAD.json", head | {"batch": number})
+            store.write(build(batch), mode="append", told={"batch": number})
 
     return publish

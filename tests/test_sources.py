@@ -6,6 +6,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
+from quiltgraph.functions import names, routes
 from quiltgraph.graph import Graph, deduplicated
 from quiltgraph.operators import tools
 from quiltgraph.schema import Extension, GraphSchema, NodeTable, RelTable
@@ -143,3 +144,35 @@ def test_paging(spark):
     cut = tools.within_budget({"a": list(range(10_000)), "b": [1]})
     assert len(json.dumps(cut)) <= tools.BUDGET_CHARS and cut["truncated"]
     assert tools.raw_rows(df, 5)["truncated"] and tools.verdict(df, 3) == {"count": 4, "max": 3, "ok": False}
+
+
+def test_one_writer_at_a_time(spark, graph, tmp_path):
+    store, other = GraphStore(spark, f"{tmp_path}/g", SCHEMA), GraphStore(spark, f"{tmp_path}/g", SCHEMA)
+    with store.locked():
+        with pytest.raises(TimeoutError), other.locked(wait=0):
+            pass
+        with store.locked(stale=-1):
+            pass
+    with other.locked(wait=0):
+        pass
+    head = store.write(graph.without_dangling(), told={"batch": 3})
+    assert other.head()["batch"] == 3 and other.head() == head and other.collect_garbage(grace=-10) == []
+
+
+def test_manifest_and_forms(spark, graph, tmp_path):
+    export.write_jsonl(graph, str(tmp_path))
+    told = {(r.kind, r.name): list(r.properties) for r in spark.read.json(f"{tmp_path}/manifest").collect()}
+    assert told == {("node", "A"): ["x", "s"], ("node", "B"): ["s"], ("rel", "R"): ["w"]}
+    d = spark.createDataFrame([("a,b", None, [1]), ("c", 2, None)], "s string, n int, l array<int>")
+    assert tools.rendered(d, "csv") == 's,n,l\n"a,b",,[1]\nc,2,\n'
+    assert tools.rendered(d, "table") == "s    n  l\na,b     [1]\nc    2"
+    assert tools.rendered(d) == '[{"s": "a,b", "n": null, "l": [1]}, {"s": "c", "n": 2, "l": null}]'
+    assert tools.parameters(["k=1", "s=x", 'l=["a"]']) == {"k": 1, "s": "x", "l": ["a"]}
+    with pytest.raises(ValueError):
+        tools.parameters(["k"])
+
+
+def test_paths_and_names(spark):
+    d = spark.createDataFrame([("/api/", "users//", None, "FooBar")], "a string, b string, c string, n string")
+    r = d.select(routes.joined_path(F.col("a"), F.col("b"), F.col("c")).alias("p"), routes.joined_path(F.lit("")).alias("e"), names.name_contains(F.col("n"), "oB").alias("x"), names.name_contains(F.col("n"), "z").alias("y"), names.name_contains(F.col("n"), None).alias("z")).first()
+    assert tuple(r) == ("/api/users", "/", True, False, True)
