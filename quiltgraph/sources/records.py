@@ -79,6 +79,10 @@ def graph_of(spark: SparkSession, rows: DataFrame, base: GraphSchema | None = No
     node_props = {k[0]: v for k, v in _properties(nodes, ["label"]).items()}
     for n in base.nodes.values() if base else ():
         node_props[n.label] = {**n.properties, **{k: v for k, v in node_props.get(n.label, {}).items() if k not in n.properties}}
+    for t, a, b in pairs if base else ():
+        if t in base.rels:
+            told = base.rels[t].properties
+            props[t, a, b] = {**told, **{k: v for k, v in props[t, a, b].items() if k not in told}}
     rel_tables = [RelTable(t if t not in several else f"{t}_{s}_{d}".upper(), s, d, props[t, s, d]) for t, s, d in pairs]
     known = {r.type for r in rel_tables}
     rel_tables += [r for r in base.rels.values() if r.type not in known] if base else []
