@@ -68,3 +68,38 @@ def test_rows_of_the_result_are_not_written_on_the_way(spark, monkeypatch):
 
     monkeypatch.setattr(traverse, "written", counted)
     assert traverse.shortest_chains(e, seeds, 3, paths=False).count() > 5 * sum(sizes)
+
+
+def test_reach_through_components(spark):
+    random.seed(3)
+    pairs = {(a, b) for a, b in ((random.randrange(60), random.randrange(60)) for _ in range(75))} | {(70, 70), (70, 71), (71, 1), (80, 81), (81, 80)}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    seeds = [*range(0, 60, 4), 70, 71, 81, 99]
+    want = set()
+    for s in seeds:
+        level = {b for a, b in pairs if a == s}
+        seen = set()
+        while level:
+            seen |= level
+            level = {b for a, b in pairs if a in level} - seen
+        want |= {(s, v) for v in seen}
+    s = spark.createDataFrame([(x,) for x in seeds], "id long")
+    for few in (50_000, 0):
+        rows = traverse.reachable(e, s, few=few).collect()
+        assert len(rows) == len(want) and {tuple(r) for r in rows} == want, few
+
+
+def test_reach_of_a_large_component_takes_few_rows(spark, monkeypatch):
+    """All pairs of a component are in the result, not among the rows that are written on the way."""
+    ring = [(k, (k + d) % 400) for k in range(400) for d in (1, 7)]
+    e = spark.createDataFrame(ring, "src long, dst long")
+    sizes, put = [], traverse.written
+
+    def counted(df):
+        out = put(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(traverse, "written", counted)
+    found = traverse.reachable(e, e.select(e.src.alias("id")).distinct(), few=500)
+    assert found.count() == 400 * 400 > 10 * sum(sizes)
