@@ -20,11 +20,13 @@ Defined results: null and empty texts have fingerprint 0 and link like any other
 are one shingle; rows with equal doc_id each give a row; null doc_ids are never a component's id
 unless it has no other; an empty table gives no rows.
 
-Two bits are near identity, so ``kept_documents`` (the pipeline's stage) takes near copies by Jaccard
-similarity of 5-word shingle sets instead, 0.8 or more, complete: under any one order of all shingles,
+``kept_documents`` (the pipeline's stage) takes near copies, of Jaccard similarity 0.8 or more of 5-word
+shingle sets. Fingerprints of these shingles fetch the nearest ones by the same tables and distance, and
+exact similarity follows (two bits may be less, where a text repeats itself). Most pairs at 0.8 they can't
+fetch: those differ in 10 of 64 bits on average, and up to 17 were seen. So what fingerprints have
+not joined goes on to a complete join: under any one order of all shingles,
 two sets that similar share one of the first floor(n / 5) + 1 of each, so those prefixes are the keys
-under which documents meet. Fingerprints can't fetch these pairs: at 0.8 they differ in 10 of 64 bits
-on average, and up to 17 were seen. The order puts frequent shingles last. Bounds that lose no pair come
+under which documents meet. The order puts frequent shingles last. Bounds that lose no pair come
 before any set is read: sizes; places under the first shared key; and parity sketches, in which every
 shingle of the symmetric difference flips one bit, so that differing bits bound it from below. Sets
 are made again from the texts of the few documents that are left, not stored.
@@ -66,7 +68,11 @@ def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
-    hashes = shingle_hashes(text, width, seed)
+    return majority(shingle_hashes(text, width, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have, repeats counted."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -223,27 +229,27 @@ def frequent_shingles(docs: DataFrame, width: int, hot: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, last: np.ndarray, width: int = COPY_SHINGLE, tenths: int = TENTHS, seed: int = SEED) -> DataFrame:
-    """doc_id, text_hash, fp, n, sketch and prefix (the shingles of which similar sets share one; ``last`` come last)."""
+    """doc_id, text_hash, fp, bits (the fingerprint), n, sketch and prefix (the shingles of which similar sets share one; ``last`` come last)."""
     shipped(docs.sparkSession)
 
     def row(text):
-        x = _set(text, width, seed)
-        order = x
+        hashes = shingle_hashes(text, width, seed)
+        x = order = np.unique(hashes.view(np.int64))
         if len(last) and len(x):
             late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
             order = np.concatenate([x[~late], x[late]])
-        return _name(x, seed), len(x), parity_sketch(x), order[: len(x) - -(-tenths * len(x) // 10) + 1]
+        return _name(x, seed), majority(hashes), len(x), parity_sketch(x), order[: len(x) - -(-tenths * len(x) // 10) + 1]
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                fp, n, sketch, prefix = zip(*(row(t.as_py()) for t in b.column(2)), strict=True)
+                fp, bits, n, sketch, prefix = zip(*(row(t.as_py()) for t in b.column(2)), strict=True)
                 lists = [pa.array(c, pa.list_(pa.int64())) for c in (sketch, prefix)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), *lists], names=["doc_id", "text_hash", "fp", "n", "sketch", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64()), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *lists], names=["doc_id", "text_hash", "fp", "bits", "n", "sketch", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, n int, sketch array<long>, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, bits long, n int, sketch array<long>, prefix array<long>")
 
 
 def _within_ids(big: DataFrame, ids: DataFrame, on: str) -> DataFrame:
@@ -328,6 +334,24 @@ class Similarity:
         return out.filter(self.good()).select("a", "b")
 
 
+def fingerprint_pairs(signed: DataFrame) -> DataFrame:
+    """(a, b), a < b: sets whose fingerprints link, by one set of each fingerprint, and sets of one fingerprint with that one."""
+    sets = written(signed.select("bits", "fp").distinct())
+    least = written(sets.groupBy("bits").agg(F.min("fp").alias("least")))
+    near = links(least.select(F.col("bits").alias("fp")))
+    x, y = (least.select(F.col("bits").alias(k), F.col("least").alias(f"fp_{k}")) for k in "ab")
+    near = near.join(x, "a").join(y, "b").select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b"))
+    same = sets.join(least, "bits").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    return near.unionByName(same).filter("a <> b").distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame, n: int) -> DataFrame:
+    """Pairs that ``roots`` (node, root; a written table of n rows) doesn't have in one component."""
+    x, y = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+    x, y = (F.broadcast(d) if n <= BROADCAST_IDS else d for d in (x, y))
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
+
+
 def _all_pairs(keys: DataFrame, tenths: int) -> DataFrame:
     """(a, b): pairs that meet under a key and can be similar if it is the first in order that they share."""
     other = keys.select("key", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("at").alias("bt"))
@@ -342,7 +366,8 @@ def _several(keys: DataFrame) -> DataFrame:
 def similar_sets(docs: DataFrame, signed: DataFrame, width: int = COPY_SHINGLE, tenths: int = TENTHS, hot: int = HOT_SETS, pivots: int = PIVOTS) -> DataFrame:
     """(a, b), a < b: links that connect all sets of Jaccard similarity tenths / 10 or more.
 
-    signed: a written table of signatures, one row or more a set.
+    signed: a written table of signatures, one row or more a set. Links that fingerprints fetch come first;
+    pairs that these have joined aren't tried again.
     """
     if not 5 < tenths <= 10:
         raise ValueError("similarity must be over 0.5")
@@ -350,7 +375,11 @@ def similar_sets(docs: DataFrame, signed: DataFrame, width: int = COPY_SHINGLE,
     keys = signed.select("fp", "n", F.posexplode("prefix").alias("at", "key"))
     sizes = written(_several(keys))
     keys = written(keys.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "key").distinct())
-    found = [sim.similar(_all_pairs(keys.filter(F.col("sets") <= hot), tenths))]
+    near = written(sim.similar(fingerprint_pairs(signed)))
+    roots = written(components(near))
+    n_roots = roots.count()
+    apart = lambda pairs: _apart(pairs, roots, n_roots) if n_roots else pairs
+    found = [near, sim.similar(apart(_all_pairs(keys.filter(F.col("sets") <= hot), tenths)))]
     # the places at_a and at_b of a pair's first shared key allow (10 + t)(at_a + at_b) <= (10 - t)(n_a + n_b) only
     slack = (10 + tenths) * F.col("at") - (10 - tenths) * F.col("n")
     rest = written(keys.filter(F.col("sets") > hot).select("key", "fp", "n", "at", slack.alias("s"), "sets"))
@@ -361,7 +390,7 @@ def similar_sets(docs: DataFrame, signed: DataFrame, width: int = COPY_SHINGLE,
         rest = written(rest.join(least, "key").filter((F.col("s") + F.col("least.s") <= 0) | (F.col("fp") == F.col("least.fp"))).drop("least"))
         left = written(_several(rest))
         few = rest.join(left.filter(F.col("sets") <= hot).select("key"), "key", "left_semi").drop("sets")
-        found.append(sim.similar(_all_pairs(few, tenths)))
+        found.append(sim.similar(apart(_all_pairs(few, tenths))))
         rest = written(rest.drop("sets").join(left.filter(F.col("sets") > hot), "key"))
         if rest.isEmpty():
             break

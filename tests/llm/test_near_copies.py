@@ -87,3 +87,26 @@ def test_a_group_around_a_passage(spark, monkeypatch):
     for hot, pivots in ((5, 1),):
         got = {r.doc_id: r.component_id for r in simhash.near_copies(df, hot=hot, pivots=pivots).collect()}
         assert got == want
+
+
+def test_fingerprints_fetch_and_similarity_decides(spark, monkeypatch):
+    """Pairs come from the fingerprint tables first; one that is near by its bits alone is not a copy; joined pairs aren't tried again."""
+    random.seed(12)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    chant = " ".join([word() for _ in range(7)] * 300)
+    long = [word() for _ in range(3000)]
+    docs = [(k, " ".join(word() for _ in range(25)) + " " + chant) for k in range(2)]
+    docs += [(10 + k, " ".join([*long[: 300 * k], word(), *long[300 * k + 1 :]])) for k in range(4)] + [(20, " ".join(word() for _ in range(50)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    signed = simhash.written(simhash.signatures(df, simhash.np.zeros(0, simhash.np.int64)))
+    names = {r.fp: r.doc_id for r in signed.collect()}
+    got = {tuple(sorted((names[r.a], names[r.b]))) for r in simhash.fingerprint_pairs(signed).collect()}
+    bits = {r.doc_id: r.bits & (1 << 64) - 1 for r in signed.collect()}
+    assert all(bits[d] == simhash.fingerprint(t, 5) for d, t in docs)
+    near = {(a, b) for a in bits for b in bits if a < b and (bits[a] ^ bits[b]).bit_count() <= 2}
+    assert got and got <= near and (0, 1) in got and any(a >= 10 for a, _ in got)
+    tried, similar = [], simhash.Similarity.similar
+    monkeypatch.setattr(simhash.Similarity, "similar", lambda self, pairs: tried.append({tuple(sorted((names[r.a], names[r.b]))) for r in pairs.collect()}) or similar(self, pairs))
+    want = by_hand([(k, t) for k, (_, t) in enumerate(docs)])
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == {docs[k][0]: docs[root][0] for k, root in want.items()}
+    assert want[0] != want[1] and tried[0] == got and not (got - {(0, 1)}) & tried[1]
