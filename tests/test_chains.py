@@ -103,3 +103,11 @@ def test_reach_of_a_large_component_takes_few_rows(spark, monkeypatch):
     monkeypatch.setattr(traverse, "written", counted)
     found = traverse.reachable(e, e.select(e.src.alias("id")).distinct(), few=500)
     assert found.count() == 400 * 400 > 10 * sum(sizes)
+
+
+def test_paths_are_not_written_on_the_way(spark, monkeypatch):
+    kinds, put = [], traverse.written
+    monkeypatch.setattr(traverse, "written", lambda df: kinds.append(df.columns) or put(df))
+    e = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (4, 3), (3, 1)], "src long, dst long")
+    got = {r.id: list(r.path) for r in traverse.shortest_chains(e, spark.createDataFrame([(1,)], "id long"), 3).collect()}
+    assert got == {1: [1], 2: [1, 2], 4: [1, 4], 3: [1, 2, 3]} and not any("path" in c for c in kinds)
