@@ -11,6 +11,13 @@ A segment shared by more than HOT lines is not paired out: what is left of those
 within one edit, so they meet again under the hashes of the rest without one character (or whole),
 where groups stay as small as the links themselves. No pair is lost either way.
 
+With ``share``, lines of 2 * share characters or more link at one edit for each ``share`` characters of the
+shorter. Segments at fixed places would have to be probed at all shifts, some k^3 rows a line for k edits. So
+the segments are chosen by content: k edits leave a run in common that is at least as long as a window of
+grams, and the gram of least hash in that window is chosen in both lines, wherever it stands. Grams of more
+than HOT lines meet again by length class and place, two of each, which differ by k at most. Exact, too.
+The keys are looked up in passes, each of about PASS_CHARS characters' rows, so that disk is bounded.
+
 Of each line, all occurrences but the first go; so do all occurrences of a line that links to one
 whose first occurrence is earlier. First is by doc_id (nulls last), then text hash, then line number.
 
@@ -25,6 +32,8 @@ lines; an empty table gives no rows; other columns, of any name, pass through.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +48,8 @@ THRESHOLD, LEAST_CHARS, LEAST_WORDS, HOT = 1, 30, 3, 48
 BROADCAST_IDS = 200_000
 #: Occurrences of lines that have more are joined to their marks without a shuffle by line.
 COMMON = 2_000
+#: One edit for so many characters, where the threshold follows length, and characters of distinct lines whose grams make a pass.
+SHARE, PASS_CHARS = 32, 60_000_000
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -156,19 +167,114 @@ def _pairs(members: DataFrame) -> DataFrame:
     return members.select("key", F.col("h1").alias("a1")).join(other, "key").filter("a1 < b1").select("a1", "b1")
 
 
-def _verified(pairs: DataFrame, k: int) -> DataFrame:
+def _verified(pairs: DataFrame, k: int, share: int | None = None) -> DataFrame:
     shipped(pairs.sparkSession)
 
     def run(batches):
         for b in batches:
-            good = [within(x, y, k) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            good = [within(x, y, min(len(x), len(y)) // share if share else k) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
             yield b.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
 
     return pairs.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
-def line_links(docs: DataFrame, occ: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a1, a2, b1, b2): pairs of different lines, by their two hashes, within the edit threshold; a written table."""
+def _slid(op, x: np.ndarray, width: int) -> np.ndarray:
+    """op over x[i : i + width] for each i."""
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        x, size = op(x[:-step], x[step:]), size + step
+    return x
+
+
+def _grams(lines: DataFrame, gram: int, window: int, part: int, parts: int) -> DataFrame:
+    """(h1, line) -> (key, h1, n, place): each window's gram of least hash, those keys that are ``part`` modulo ``parts``.
+
+    Lines must have gram + window - 1 characters or more.
+    """
+    shipped(lines.sparkSession)
+
+    def run(batches):
+        r = np.uint64(0x9E3779B97F4A7C15)
+        back = np.uint64(pow(int(r), -1, 1 << 64))
+        with np.errstate(over="ignore"):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                c = np.frombuffer("".join(b.column(1).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+                n = pc.utf8_length(b.column(1)).to_numpy().astype(np.int64)
+                line = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n)
+                power = np.cumprod(np.full(len(c), r, np.uint64))
+                h = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * power, dtype=np.uint64)])
+                h = (h[gram:] - h[:-gram]) * np.cumprod(np.full(len(h) - gram, back, np.uint64))
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ h >> np.uint64(32)) | np.uint64(1)
+                least = _slid(np.minimum, h, window)
+                least[place[: len(least)] + gram + window - 1 > n[line[: len(least)]]] = 0  # a window of two lines
+                edge = np.zeros(window - 1, np.uint64)
+                at = np.flatnonzero((_slid(np.maximum, np.concatenate([edge, least, edge]), window) == h) & ((h >> np.uint64(1)) % np.uint64(parts) == part))
+                own = line[at]
+                out = [pa.array(h[at].view(np.int64)), b.column(0).take(pa.array(own)), pa.array(n[own].astype(np.int32)), pa.array(place[at].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(out, names=["key", "h1", "n", "place"])
+
+    return lines.select("h1", "line").mapInArrow(run, "key long, h1 long, n int, place int")
+
+
+def _met(members: DataFrame, share: int) -> DataFrame:
+    """(a1, b1) of lines with a key in common whose lengths, and the key's places, differ by no more than they may."""
+    a, b = (members.select("key", *[F.col(c).alias(x + c) for c in ("h1", "n", "place")]) for x in "ab")
+    k = F.floor(F.least("an", "bn") / share)
+    near = (F.abs(F.col("an") - F.col("bn")) <= k) & (F.abs(F.col("aplace") - F.col("bplace")) <= k)
+    return a.join(b, "key").filter((F.col("ah1") < F.col("bh1")) & near).select(F.col("ah1").alias("a1"), F.col("bh1").alias("b1"))
+
+
+def _by_length_and_place(members: DataFrame, share: int) -> DataFrame:
+    """Rows under the keys of two length classes and, in each, two places; lines that may link have one in common."""
+    base = math.log1p(1 / share) * 1.001  # wider than a class need be, for rounding
+    both = lambda c: F.explode(F.array(c, c + 1))
+    d = members.select("*", both(F.floor(F.log("n") / base)).alias("size"))
+    width = F.floor(F.exp((F.col("size") + 1) * base) / share) + 2
+    d = d.select("*", both(F.floor(F.col("place") / width)).alias("cell"))
+    return d.select(F.xxhash64("key", "size", "cell").alias("key"), "h1", "n", "place")
+
+
+def _long_links(docs: DataFrame, share: int) -> DataFrame:
+    """As ``line_links``, of lines of 2 * share characters or more at one edit for each ``share`` characters of the shorter."""
+    run = -(-2 * (share - 1) // 3)  # least run that two lines have in common: 2 edits in 2 * share characters; more for longer lines
+    gram = -(-2 * run // 3)
+    window = run - gram + 1
+    lines = _lines(docs).filter(F.char_length("line") >= 2 * share).select(*_identity(F.col("line")), "line")
+    texts = written(lines.groupBy("h1", "h2").agg(F.min("line").alias("line")))
+    parts = 1 + (texts.agg(F.sum(F.char_length("line"))).first()[0] or 0) // PASS_CHARS
+    found = []
+    for part in range(parts):
+        rows = _grams(texts, gram, window, part, parts)
+        keys = written(rows.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m"))
+        members = written(_within_ids(rows, keys.select("key"), "key"))
+        hot = written(keys.filter(F.col("m") > HOT).select("key"))
+        n_hot = hot.count()
+        pairs = _met(members.join(F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot, "key", "left_anti"), share)
+        if n_hot:
+            pairs = pairs.unionByName(_met(_by_length_and_place(_within_ids(members, hot, "key", n_hot), share), share))
+        found.append(written(pairs.distinct()))
+        dropped(keys, members, hot)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    a = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
+    b = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
+    out = written(_verified(pairs.distinct().join(a, "a1").join(b, "b1").select("a1", "a2", "b1", "b2", "a", "b"), 0, share))
+    dropped(texts, *found)
+    return out
+
+
+def line_links(docs: DataFrame, occ: DataFrame, threshold: int = THRESHOLD, share: int | None = None) -> DataFrame:
+    """(a1, a2, b1, b2): pairs of different lines, by their two hashes, within the edit threshold; a written table.
+
+    With ``share`` also those within one edit for each ``share`` characters of the shorter line.
+    """
     if threshold != 1:
         raise ValueError("the lookups are laid out for a threshold of 1")
     rows = occ.select("h1", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(f"k{i}").alias("key")) for i in range(3)])).alias("s")).select("h1", "s.key", "s.which").filter("key is not null")
@@ -193,7 +299,7 @@ def line_links(docs: DataFrame, occ: DataFrame, threshold: int = THRESHOLD) -> D
     b = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
     out = written(_verified(pairs.join(a, "a1").join(b, "b1").select("a1", "a2", "b1", "b2", "a", "b"), threshold))
     dropped(members, hot, ids, texts)
-    return out
+    return out if share is None else written(out.unionByName(_long_links(docs, share)).distinct())
 
 
 def _to_marks(occ: DataFrame, marks: DataFrame) -> DataFrame:
@@ -211,10 +317,10 @@ def _to_marks(occ: DataFrame, marks: DataFrame) -> DataFrame:
     return often.unionByName(rest.join(marks.filter(F.col("n") <= COMMON), on, "left"))
 
 
-def removals(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def removals(docs: DataFrame, threshold: int = THRESHOLD, share: int | None = None) -> DataFrame:
     """doc_id, text_hash, n_compared, n_links, removed (line numbers) of documents with compared lines; a written table."""
     occ = written(occurrences(docs))
-    links = line_links(docs, occ, threshold)
+    links = line_links(docs, occ, threshold, share)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line_no")
     classes = written(occ.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
     both = links.unionByName(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
@@ -277,13 +383,13 @@ def _repeats_only(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return written(bare.join(own, same, "left_anti"))
 
 
-def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, share: int | None = None) -> DataFrame:
     """``docs`` with only the lines that stay (n_chars, if there, follows).
 
     A document goes if it loses lines and nothing of its own is left: white space, and lines of any
     length that an earlier document has too.
     """
-    gone = removals(docs, threshold)
+    gone = removals(docs, threshold, share)
     lost = _repeats_only(docs, gone).select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash"))
     none = F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash"))
     d = with_kept_text(docs, gone.join(lost, none, "left").select(*gone.columns, F.col("l_hash").isNotNull().alias("lost")))
@@ -294,7 +400,7 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return d.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, share: int | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    d = with_kept_text(docs, removals(docs))
+    d = with_kept_text(docs, removals(docs, share=share))
     return d.select("row.doc_id", "n_compared", "n_removed", "n_links", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
