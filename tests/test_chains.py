@@ -111,3 +111,34 @@ def test_paths_are_not_written_on_the_way(spark, monkeypatch):
     e = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (4, 3), (3, 1)], "src long, dst long")
     got = {r.id: list(r.path) for r in traverse.shortest_chains(e, spark.createDataFrame([(1,)], "id long"), 3).collect()}
     assert got == {1: [1], 2: [1, 2], 4: [1, 4], 3: [1, 2, 3]} and not any("path" in c for c in kinds)
+
+
+def test_groups_follow_the_graph_not_the_order_of_ids(spark, monkeypatch):
+    """Eight parts of a graph whose ids take turns: lists go to about one group each, not to every group."""
+    random.seed(5)
+    e = spark.createDataFrame([(8 * a + c, 8 * b + c) for c in range(8) for a in range(60) for b in random.sample(range(60), 4)], "src long, dst long")
+    needed, put = [], traverse.written
+
+    def counted(df):
+        out = put(df)
+        if df.columns == ["g", "id", "seed"]:
+            needed.append(out.count())
+        return out
+
+    monkeypatch.setattr(traverse, "written", counted)
+    seeds = e.select(e.src.alias("id")).distinct()
+    got = traverse.shortest_chains(e, seeds, 3, group=60)
+    assert sum(needed) < 3 * 480 and got.count() == got.select("seed", "id").distinct().count()
+
+
+def test_heavy_groups_are_split_before_rows_of_paths_are_written(spark, monkeypatch):
+    random.seed(7)
+    edges = {a: {b: random.choice([None, 1, 5]) for b in random.sample(range(800), 4)} for a in range(800)}
+    e = spark.createDataFrame([(a, b, w) for a, out in edges.items() for b, w in out.items()], "src long, dst long, strength long")
+    seeds = [*range(1, 60)]  # each alone reads some 84 edges
+    kinds, put = [], traverse.written
+    monkeypatch.setattr(traverse, "written", lambda df: kinds.append(df.columns) or put(df))
+    rows = traverse.shortest_chains(e, spark.createDataFrame([(x,) for x in seeds], "id long"), 3, group=30, most=300).collect()
+    assert len(rows) == len({(r.seed, r.id) for r in rows})
+    assert {(r.seed, r.id): (r.depth, tuple(r.path), r.weakest) for r in rows} == by_hand(edges, seeds, 3)
+    assert not any("path" in c for c in kinds)
