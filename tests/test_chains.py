@@ -1,10 +1,11 @@
 """Shortest chains against a search by hand, by groups and by levels, and what is written on the way."""
 
 import random
+from pathlib import Path
 
 import pytest
 
-from quiltgraph.operators import traverse
+from quiltgraph.operators import components, traverse
 
 
 def by_hand(edges, seeds, depth):
@@ -142,3 +143,36 @@ def test_heavy_groups_are_split_before_rows_of_paths_are_written(spark, monkeypa
     assert len(rows) == len({(r.seed, r.id) for r in rows})
     assert {(r.seed, r.id): (r.depth, tuple(r.path), r.weakest) for r in rows} == by_hand(edges, seeds, 3)
     assert not any("path" in c for c in kinds)
+
+
+@pytest.mark.parametrize("local", [100, 40, 10_000])
+def test_reach_of_a_graph_too_large_for_a_task(spark, local):
+    """Contraction by groups of nodes, by a thinned graph, and one task alone give what a search by hand gives."""
+    random.seed(9)
+    dense_part = {(3 * a + c, 3 * b + c) for c in range(2) for a in range(40) for b in random.sample(range(40), 9 if c else 4)}
+    pairs = dense_part | {(4, 200), (200, 201), (201, 200), (201, 202), (203, 203), (203, 0), (204, 204), (150, 9), (202, 205)}
+    e = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in sorted(pairs)] * 2, "src string, dst string")  # edges may be repeated
+    seeds = [0, 1, 4, 30, 150, 200, 202, 203, 204, 205, 999]
+    want = set()
+    for s in seeds:
+        level, seen = {b for a, b in pairs if a == s}, set()
+        while level:
+            seen |= level
+            level = {b for a, b in pairs if a in level} - seen
+        want |= {(f"n{s}", f"n{v}") for v in seen}
+    rows = traverse.reachable(e, spark.createDataFrame([(f"n{s}",) for s in seeds], "id string"), few=0, local_edges=local).collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    got = {tuple(r) for r in components.scc(e, local).collect()}
+    alone = {tuple(r) for r in components.scc(e, 10_000).collect()}
+    assert got == alone and len(got) > 60
+
+
+def test_reach_leaves_no_copies_of_the_edges(spark, monkeypatch):
+    """Of all tables that are written on the way, those that are still there when the result is read are small."""
+    e = spark.createDataFrame([(k, (k + d) % 400) for k in range(400) for d in (1, 7, 30, 90)], "src long, dst long")
+    tables, put = [], traverse.written
+    for m in (traverse, components):
+        monkeypatch.setattr(m, "written", lambda df: tables.append(put(df)) or tables[-1])
+    found = traverse.reachable(e, e.select(e.src.alias("id")).distinct(), few=500)
+    left = [spark.read.parquet(t._table_path).count() for t in tables if list(Path(t._table_path.removeprefix("file:")).glob("*.parquet"))]
+    assert sum(left) < 1600 and found.count() == 400 * 400
